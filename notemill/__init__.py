@@ -10,3 +10,10 @@ The package holds DataFrame operators over collections of markdown notes.  Sub-p
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to Python workers travel whole, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
