@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notemill.llm import q_cooccur, q_leaks, q_pairs, q_spans, q_split, q_vectors
+from notemill.llm import q_cooccur, q_leaks, q_mix, q_pairs, q_spans, q_split, q_vectors
 
-_MODULES = (q_pairs, q_vectors, q_split, q_cooccur, q_leaks, q_spans)
+_MODULES = (q_pairs, q_vectors, q_split, q_cooccur, q_leaks, q_mix, q_spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
