@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notemill.plans import orphan_queries
+from notemill.plans import note_queries, orphan_queries
 
-_MODULES = (orphan_queries,)
+_MODULES = (note_queries, orphan_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
