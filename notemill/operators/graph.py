@@ -190,9 +190,9 @@ def modularity(adj: DataFrame, communities: DataFrame, resolution: float = 1.0)
     m2 = adj.groupBy("scope").agg(F.count(F.lit(1)).cast("double").alias("m2"))
     c = communities.select("scope", F.col("id").alias("a"), "community")
     ends = k.join(c, ["scope", "a"])
-    e = join_unique(adj, ends, ["scope", "a"])
+    e = cut(join_unique(adj, ends, ["scope", "a"]), "modularity")
     other = ends.select("scope", F.col("a").alias("b"), F.col("k").alias("kb"), F.col("community").alias("cb"))
-    e = join_unique(join_unique(e, other, ["scope", "b"]), m2, ["scope"]).where(F.col("community") == F.col("cb"))
+    e = join_unique(cut(join_unique(e, other, ["scope", "b"]), "modularity"), m2, ["scope"]).where(F.col("community") == F.col("cb"))
     got = e.groupBy("scope").agg(F.sum((1 - resolution * F.col("k") * F.col("kb") / F.col("m2")) / F.col("m2")).alias("modularity"))
     return communities.select("scope").distinct().join(got, "scope", "left").select("scope", F.coalesce("modularity", F.lit(0.0)).alias("modularity"))
 
@@ -240,11 +240,14 @@ def communities(nodes: DataFrame, adj: DataFrame, resolution: float = 1.0, sweep
     model's node order within one task.  Greater components move their nodes together, half of them at a time by
     a hash, for at most ``rounds`` rounds; that partition may differ from the sequential one.
     """
+    adj = cut(adj, "communities")
     comp = components(nodes, adj)
     m2 = adj.groupBy("scope").agg(F.count(F.lit(1)).alias("m2"))
-    e = join_unique(join_unique(adj, comp.select("scope", F.col("id").alias("a"), "component"), ["scope", "a"]), m2, ["scope"])
+    e = cut(join_unique(adj, comp.select("scope", F.col("id").alias("a"), "component"), ["scope", "a"]), "communities")
+    e = cut(join_unique(e, m2, ["scope"]), "communities")
     ords = nodes.select("scope", F.col("id").alias("a"), "ord")
-    e = join_unique(join_unique(e, ords, ["scope", "a"]), ords.select("scope", F.col("a").alias("b"), F.col("ord").alias("ord_b")), ["scope", "b"])
+    e = cut(join_unique(e, ords, ["scope", "a"]), "communities")
+    e = cut(join_unique(e, ords.select("scope", F.col("a").alias("b"), F.col("ord").alias("ord_b")), ["scope", "b"]), "communities")
     sizes = e.groupBy("scope", "component").agg((F.count(F.lit(1)) > ONE_TASK_EDGES).alias("big"))
     e = cut(join_unique(e, sizes, ["scope", "component"]), "communities")
     small = e.where("NOT big").groupBy("scope", "component").applyInPandas(_local_moving(resolution, sweeps), "scope string, id string, community string")

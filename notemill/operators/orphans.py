@@ -67,7 +67,7 @@ def _index(parents: DataFrame) -> DataFrame:
 
 
 def _judged(refs: DataFrame, index: DataFrame) -> DataFrame:
-    hit = join_unique(refs, index, ["space", "key"])
+    hit = join_unique(cut(refs, "orphan-probes"), index, ["space", "key"])
     reason = (
         F.when(F.col("_live").isNull(), "missing")
         .when(~F.col("_live"), "deleted")

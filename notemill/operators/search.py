@@ -138,7 +138,7 @@ def relevance(notes: DataFrame, query: str, ranks: DataFrame, now: datetime | st
     at = F.lit(str(now)).cast("timestamp")
     p = F.lower("path")
     tag = F.when(F.size(F.coalesce("tags", F.array().cast("array<string>"))) == 0, F.lit(0.0)).otherwise(F.least(_sum([_tag_hits(t) for t in terms]) / n, F.lit(1.0)))
-    recency = F.greatest(F.lit(0.0), 1 - (F.unix_micros(at) - F.unix_micros("last_modified")) / F.lit(86_400_000_000.0) / 365)
+    recency = F.greatest(F.lit(0.0), 1 - (F.unix_micros(at) - F.unix_micros(F.col("last_modified").cast("timestamp"))) / F.lit(86_400_000_000.0) / 365)
     on_path = F.when(F.contains(p, F.lit(q)), F.lit(1.0)).otherwise(_sum([F.contains(p, F.lit(t)).cast("bigint") for t in terms]) / n)
     rows = notes.select("vault", "path", "ord", tag.alias("tags"), recency.alias("recency"), on_path.alias("path_relevance"), slash_path("path").alias("node"))
     rows = rows.join(ranks.select("vault", "node", F.col("rank").alias("backlinks")), ["vault", "node"], "left").withColumn("backlinks", F.coalesce("backlinks", F.lit(0.0)))

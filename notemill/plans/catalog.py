@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notemill.plans import note_queries, orphan_queries
+from notemill.plans import graph_queries, note_queries, orphan_queries, search_queries
 
-_MODULES = (note_queries, orphan_queries)
+_MODULES = (note_queries, search_queries, graph_queries, orphan_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_queries.p5_snapshot(spark, folder)
+    return search_queries.text_search(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
