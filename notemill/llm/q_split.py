@@ -13,12 +13,12 @@ from notemill.sources.tables import table
 def _live_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """(note_id, chunk_ix, chunk, max_chunk_size, size_unit, chunk_overlap) of the live notes' current rows.
 
-    The chunks do not travel: a first pass over two columns finds which revision of each note is current and live, and
-    which of its deliveries stands for the others.
+    A first pass over small columns finds the current revision of each live note; its rows then give their chunks, once for
+    each delivery.
     """
     notes = table(spark, folder, "notes")
     order = F.coalesce(F.col("rev").cast("bigint"), F.lit(-(2**63)))
-    stamped = notes.select("note_id", "vault", "chunks", "deleted_at", order.alias("rev"), F.col("ingested_at"))
+    stamped = notes.select("note_id", "vault", "chunks", "deleted_at", order.alias("rev"))
     now = current_rows(stamped, {"rev": F.col("rev"), "gone": F.col("deleted_at").isNotNull()}).where("NOT gone").select("note_id", "rev")
     rows = stamped.join(now, ["note_id", "rev"]).select("note_id", "vault", F.posexplode("chunks").alias("chunk_ix", "chunk"))
     limits = table(spark, folder, "vaults").select("vault", "max_chunk_size", "size_unit", "chunk_overlap")

@@ -51,9 +51,10 @@ def _offsets(text: str, unit: str) -> np.ndarray:
 
 def cut_text(text: str, unit: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) code-point ranges of the pieces of ``text``, each at most ``limit`` units (unless one character alone
-    is larger), consecutive ones sharing at least ``overlap`` units (up to one character more).
+    is larger), consecutive ones sharing at least ``overlap`` units (and less than one character more).
 
-    A text within the limit is one piece, also the empty text.  limit must be positive and overlap below it.
+    A text within the limit is one piece, also the empty text.  limit must be positive and overlap below it.  Every
+    piece adds text; where the overlap and one more character exceed the limit, the overlap gives way.
     """
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("need 0 <= overlap < limit")
@@ -63,34 +64,38 @@ def cut_text(text: str, unit: str, limit: int, overlap: int) -> list[tuple[int,
         return [(0, n)]
     kinds = [np.array([m.end() for m in k.finditer(text)], np.int64) for k in _KINDS]
     every = np.unique(np.concatenate(kinds))
-    pieces, start = [], 0
+    pieces: list[tuple[int, int]] = []
+    start = done = 0
     while True:
+        if done < n:
+            start = min(done, max(start, int(np.searchsorted(off, off[done + 1] - limit, "left"))))
         if off[n] - off[start] <= limit:
             pieces.append((start, n))
             return pieces
-        last = int(np.searchsorted(off, off[start] + limit, "right")) - 1
-        last = max(last, start + 1)
-        # a cut must leave more than the overlap, or the next piece would not move on
-        first = max(start + 1, int(np.searchsorted(off, off[start] + overlap, "right")))
-        half = int(np.searchsorted(off, off[start] + limit // 2, "left"))
-        end = 0
-        for bounds in kinds:
-            i = int(np.searchsorted(bounds, last, "right")) - 1
-            if i >= 0 and bounds[i] >= max(first, half):
-                end = int(bounds[i])
-                break
+        first = done + 1
+        last = max(first, int(np.searchsorted(off, off[start] + limit, "right")) - 1)
+        half = max(first, int(np.searchsorted(off, off[start] + limit // 2, "left")))
+        end = _last(kinds, half, last) or _last([every], first, last)
         if not end:
-            i = int(np.searchsorted(every, last, "right")) - 1
-            end = int(every[i]) if i >= 0 and every[i] >= first else 0
-        if not end:
-            end = max(last, first)
-            back = end
-            while back > first and back > end - 32 and unicodedata.combining(text[back]):
-                back -= 1
-            end = back if not unicodedata.combining(text[back]) else end
+            end = last
+            while first < end < n and end > last - 32 and unicodedata.combining(text[end]):
+                end -= 1
+            if end < n and unicodedata.combining(text[end]):
+                end = last
         pieces.append((start, end))
-        nxt = int(np.searchsorted(off, off[end] - overlap, "right")) - 1
-        start = max(nxt, start + 1)
+        if end == n:
+            return pieces
+        done = end
+        start = max(start + 1, int(np.searchsorted(off, off[end] - overlap, "right")) - 1)
+
+
+def _last(kinds: list[np.ndarray], low: int, high: int) -> int:
+    """The last boundary within low..high of the first kind that has one, or 0."""
+    for bounds in kinds:
+        i = int(np.searchsorted(bounds, high, "right")) - 1
+        if i >= 0 and bounds[i] >= low:
+            return int(bounds[i])
+    return 0
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
