@@ -227,3 +227,77 @@ def nearest(rows: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     rest = rows.select("id", "copy").join(few.select("id"), "id", "left_anti")
     copies = rest.join(few.where(F.col("rank") <= k).select(F.col("id").alias("b"), "copy"), "copy").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("cos"))
     return top.unionByName(copies.where(F.lit(1.0) >= least))
+
+
+#: Searches of a query set: pivots and length of the permutations, share of an index block that is reranked by cosine.
+SEARCH_PIVOTS, SEARCH_LISTED, SEARCH_SHARE = 256, 64, 0.1
+QUERY_BLOCK, INDEX_BLOCK = 2048, 8192
+
+
+def _search_blocks(k: int, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in groups(batches, ["space_ix", "i", "j"]):
+            side = t.column("side").to_numpy()
+            ids, perm, vec = t.column("id").to_numpy(), fixed_rows(t.column("perm"), "int16"), fixed_rows(t.column("half"), "float16").astype(np.float32)
+            q, x = side == 1, side == 2
+            if not q.any() or not x.any():
+                continue
+            listed = perm.shape[1]
+            # the inverted files of this block: the weight of every entry by pivot
+            files = np.zeros((SEARCH_PIVOTS, int(x.sum())), np.uint8)
+            files[perm[x], np.arange(files.shape[1])[:, None]] = np.arange(listed, 0, -1, dtype=np.uint8)
+            qi, qp, qv, xi, xv = ids[q], perm[q], vec[q], ids[x], vec[x]
+            c = min(len(xi), max(RERANKED, -int(-share * len(xi) // 1)))
+            for at in range(0, len(qi), 128):
+                p = qp[at : at + 128]
+                near = np.zeros((len(p), len(xi)), np.uint16)
+                for n in range(listed):
+                    near += np.minimum(files[p[:, n]], np.uint8(listed - n))
+                cand = np.argpartition(near, len(xi) - c, axis=1)[:, len(xi) - c :]
+                cos = np.einsum("qd,qcd->qc", qv[at : at + 128], xv[cand])
+                cos[xi[cand] == qi[at : at + 128, None]] = -9
+                kk = min(k, c)
+                top = np.argpartition(-cos, kk - 1, axis=1)[:, :kk]
+                val = np.take_along_axis(cos, top, 1)
+                r, n = np.nonzero(val > -8)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at + r]), pa.array(xi[np.take_along_axis(cand, top, 1)[r, n]]), pa.array(val[r, n])], ["a", "b", "near"])
+
+    return run
+
+
+def nearest_to(rows: DataFrame, queries: DataFrame, k: int, share: float = SEARCH_SHARE) -> DataFrame:
+    """(a, b, cos): for each query (id, a subset of the rows) its k most similar others among all rows of its space.
+
+    Long permutations (``SEARCH_LISTED`` of ``SEARCH_PIVOTS`` pivots) rank every row by footrule, and ``share`` of each index
+    block is reranked, so that neighbours are found also where none is close.  Queries and rows meet in blocks.
+    """
+    rows = cut(rows, "permindex-vectors")
+    kept = cut(_without_copies(rows, k).drop("rank"), "permindex-kept")
+    pivots = {s: p[:SEARCH_PIVOTS] for s, p in fit_pivots(kept).items()}
+    spark = rows.sparkSession
+    if not pivots:
+        return spark.createDataFrame([], "a bigint, b bigint, cos double")
+    perms = cut(permutations(kept, pivots, SEARCH_LISTED), "permindex-perms")
+    asked = perms.join(queries.select("id").distinct(), "id", "left_semi")
+    sizes = {r["space_ix"]: r["count"] for r in perms.groupBy("space_ix").count().collect()}
+    wanted = {r["space_ix"]: r["count"] for r in asked.groupBy("space_ix").count().collect()}
+
+    def blocks(of: dict, size: int) -> F.Column:
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for s in sizes for x in (s, -(-of.get(s, 0) // size) or 1)]), F.col("space_ix")), F.lit(1))
+
+    nq, nx = blocks(wanted, QUERY_BLOCK), blocks(sizes, INDEX_BLOCK)
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    q = asked.withColumn("i", own(nq, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), nx - 1))).withColumn("side", F.lit(1))
+    x = perms.withColumn("j", own(nx, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), nq - 1))).withColumn("side", F.lit(2))
+    cells = q.unionByName(x).select("space_ix", "i", "j", "side", "id", "perm", "half")
+    near = cells.repartition("space_ix", "i", "j").sortWithinPartitions("space_ix", "i", "j").mapInArrow(_search_blocks(k, share), "a bigint, b bigint, near float")
+    w = Window.partitionBy("a").orderBy(F.desc("near"), "b")
+    best = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k).select("a", "b")
+    vec = kept.select("id", "vec")
+    pairs = best.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
+    exact = pairs.select("a", "b", "va", "vb").mapInArrow(_cosines, "a bigint, b bigint, cos double")
+    w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    top = exact.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("a", "b", "cos")
+    few = _without_copies(rows.select("id", "copy"), k)
+    rest = rows.select("id", "copy").join(queries.select("id").distinct(), "id", "left_semi").join(few.select("id"), "id", "left_anti")
+    return top.unionByName(rest.join(few.where(F.col("rank") <= k).select(F.col("id").alias("b"), "copy"), "copy").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("cos")))

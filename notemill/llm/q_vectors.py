@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm.permindex import nearest, prepared
+from notemill.llm.permindex import nearest, nearest_to, prepared
 from notemill.sources.tables import table
 
 NEIGHBOURS, LEAST = 5, 0.85
@@ -21,6 +21,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
 
 
+def p2_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar vectors of every vector whose id is divisible by 20, whatever their cosine."""
+    rows = _vectors(spark, folder)
+    near = nearest_to(rows, rows.where("id % 20 = 0").select("id"), NEIGHBOURS)
+    return near.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), F.round("cos", 6).alias("cosine"))
+
+
 ORACLES = {
     "p2_found": """
 WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, model, CAST(vec AS DOUBLE[]) AS vec FROM chunk_vectors
@@ -29,4 +36,4 @@ sims AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.vec, b.ve
 best AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM sims WHERE s >= 0.85)
 SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM best WHERE r <= 5""",
 }
-QUERIES = {"p2_found": p2_found}
+QUERIES = {"p2_found": p2_found, "p2_knn": p2_knn}
