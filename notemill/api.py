@@ -247,14 +247,7 @@ class NoteEngine:
         rows = search.filtered(self._in(name), filters, self.note_tags)
         changes = cut(tags.bulk_tags(rows, operation, names, target_tags), "bulk-tags")
         if not dry_run:
-            stamp = datetime.now(timezone.utc).isoformat()
-
-            def rewrite(part) -> None:
-                for r in part:
-                    front, body = V.split_text(V.read_file(root, r["path"]))
-                    V.write_file(root, r["path"], V.markdown_text(front | {"tags": list(r["new_tags"]), "modified": stamp}, body))
-
-            changes.foreachPartition(rewrite)
+            changes.foreachPartition(V.tag_rewriter(root, datetime.now(timezone.utc).isoformat()))
             self.update(name)
         return changes
 

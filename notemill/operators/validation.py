@@ -87,7 +87,7 @@ def _custom(notes: DataFrame, rule: Rule) -> DataFrame:
                     if not isinstance(x, dict):
                         x = {"severity": "error", "message": "Rule returned invalid result"}
                     out.append({"vault": n["vault"], "path": n["path"], "rule": rule.name, "severity": "warning"} | x)
-            yield pd.DataFrame(out, columns=names).astype({"line": "Int32"})
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     return notes.select("vault", "path", "content", "frontmatter", "tags").mapInPandas(run, FINDING)
 

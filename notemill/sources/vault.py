@@ -6,7 +6,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from pathlib import Path
+from datetime import datetime, timezone
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,24 +33,46 @@ def safe_path(base: str, relative: str) -> str:
     return full
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+
 def listing(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, size, mtime) of all files below ``root``, relative, without skipped folders; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    return _relative(files, root, pattern).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    files = _files(spark, root)
+    rows = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return _relative(rows.unionByName(_empty_files(files)), root, pattern)
+
+
+def _empty_files(files: DataFrame) -> DataFrame:
+    """(path, size, mtime) of the files of no bytes, which Spark's reader passes over.
+
+    Spark's own file index on the driver holds all paths already; only the empty files are looked at again.
+    """
+    spark = files.sparkSession
+    known = spark.createDataFrame([(re.sub(r"\Afile:/+", "file:/", unquote(x)),) for x in files.inputFiles()], "path string")
+    missed = known.join(files.select(F.regexp_replace("path", r"\Afile:/+", "file:/").alias("path")), "path", "left_anti").collect()
+    rows = []
+    for r in missed:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r["path"])
+        status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        rows.append((r["path"], 0, datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc)))
+    return spark.createDataFrame(rows, "path string, size bigint, mtime timestamp")
 
 
 def _relative(files: DataFrame, root: str, pattern: str | None) -> DataFrame:
-    prefix = Path(re.sub(r"^file:/*", "/", root)).as_posix().rstrip("/") if "://" not in root or root.startswith("file:") else root.rstrip("/")
-    out = files.withColumn("path", F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\Afile:/*", "/"), r"\+", "%2B")))
+    prefix = re.sub(r"\Afile:/*", "/", root).rstrip("/") if "://" not in root or root.startswith("file:") else root.rstrip("/")
+    out = files.withColumn("path", F.regexp_replace("path", r"\Afile:/+", "/"))
     out = out.withColumn("path", F.substring("path", F.lit(len(prefix) + 2), F.length("path"))).where(~F.col("path").rlike(SKIPPED))
     return out if pattern is None else out.where(F.col("path").rlike(pattern))
 
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime, text) of the markdown files below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = _relative(files, root, None).where(T.is_markdown("path"))
-    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("text"))
+    files = _files(spark, root)
+    rows = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("text"))
+    rows = rows.unionByName(_empty_files(files).withColumn("text", F.lit("")))
+    return _relative(rows, root, None).where(T.is_markdown("path"))
 
 
 @F.pandas_udf(MapType(StringType(), StringType()))
@@ -139,3 +162,14 @@ def read_file(root: str, path: str) -> str:
 
 def delete_file(root: str, path: str) -> None:
     os.remove(safe_path(root, path))
+
+
+def tag_rewriter(root: str, stamp: str):
+    """A function for ``foreachPartition`` over (path, new_tags): files get the tags and a new modification time."""
+
+    def run(rows) -> None:
+        for r in rows:
+            front, body = split_text(read_file(root, r["path"]))
+            write_file(root, r["path"], markdown_text(front | {"tags": list(r["new_tags"]), "modified": stamp}, body))
+
+    return run

@@ -74,8 +74,12 @@ def refresh_index(spark: SparkSession, table_path: str, root: str, vault: str, c
 
     def apply(upserts: DataFrame, removals: DataFrame) -> None:
         touched = upserts.unionByName(removals)
-        fresh = parsed(markdown_files(spark, root).join(upserts, "path", "left_semi"), vault, chunk_size)
         version = current()
+        if version is not None and touched.isEmpty():
+            return
+        files = markdown_files(spark, root)
+        # without a version the whole folder is read
+        fresh = parsed(files if version is None else files.join(upserts, "path", "left_semi"), vault, chunk_size)
         rows = fresh if version is None else spark.read.parquet(os.path.join(table_path, version)).join(touched, "path", "left_anti").unionByName(fresh)
         name = f"v{int(version[1:]) + 1 if version else 0}"
         rows.write.mode("overwrite").parquet(os.path.join(table_path, name))
