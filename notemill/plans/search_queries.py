@@ -86,7 +86,7 @@ def embedding_check(spark: SparkSession, folder: str) -> DataFrame:
 
 def embedding_normalized(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
-    return e.select("vec_id", F.posexplode(V.normalized("embedding")).alias("ix", "x")).select("vec_id", "ix", F.round("x", 5).alias("x"))
+    return e.select("vec_id", F.posexplode(V.normalized("embedding")).alias("ix", "x")).select("vec_id", "ix", (F.round("x", 5) + F.lit(0.0)).alias("x"))  # no negative zeros
 
 
 QUERIES = {
@@ -158,5 +158,5 @@ SELECT id, round(s, 5) AS similarity FROM s WHERE s >= 0.1 ORDER BY s DESC, id L
 c AS (SELECT vec_id, vec, coalesce(len(vec) > 0 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0, false) AS valid FROM v)
 SELECT vec_id, valid, CASE WHEN valid THEN round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 5) END AS length FROM c""",
     "embedding_normalized": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM e)
-SELECT vec_id, CAST(unnest(range(len(v))) AS INTEGER) AS ix, round(unnest(list_transform(v, lambda x: CASE WHEN l = 0 THEN x ELSE x / l END)), 5) AS x FROM n""",
+SELECT vec_id, CAST(unnest(range(len(v))) AS INTEGER) AS ix, round(unnest(list_transform(v, lambda x: CASE WHEN l = 0 THEN x ELSE x / l END)), 5) + 0.0::DOUBLE AS x FROM n""",
 }
