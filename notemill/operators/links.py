@@ -70,8 +70,9 @@ def ranked(degree: DataFrame, by: str, limit: int = 10) -> DataFrame:
 def link_suggestions(broken: DataFrame, notes: DataFrame, limit: int = 5) -> DataFrame:
     """(vault, target_raw, suggestion, rank): for each distinct broken target the first notes (by ord) whose path holds
     the target or is held in it, letter case aside."""
+    broken = cut(broken.select("vault", "target_raw").distinct(), "suggestions-targets")
     needle = broken.select(F.col("vault").alias("scope"), F.lower("target_raw").alias("s")).distinct()
-    files = real_nodes(notes)
+    files = cut(real_nodes(notes), "suggestions-notes")
     paths = files.select(F.col("vault").alias("scope"), F.col("node").alias("p"))
     ahead = contained(needle.select("scope", F.col("s").alias("needle")), paths.select("scope", F.col("p").alias("hay"))).select("scope", F.col("needle").alias("s"), F.col("hay").alias("p"))
     back = contained(paths.select("scope", F.col("p").alias("needle")), needle.select("scope", F.col("s").alias("hay"))).select("scope", F.col("hay").alias("s"), F.col("needle").alias("p"))
@@ -144,19 +145,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     """(vault, node, rank) after a fixed number of iterations per vault, from 1/N; repeated links count, and the rank of
     nodes without outgoing links is lost, so ranks may sum to less than 1.
 
-    The links are reduced once to weighted edges and kept partitioned by source; each iteration shuffles the combined
-    contributions only.  Lineage is cut every fifth iteration.
+    The links are reduced once to weighted edges, which stay cached under the partitioning of the ranks: an iteration
+    shuffles nothing but the combined contributions.  Lineage is cut every fifth iteration; what is cached can be made again
+    from written tables, so a lost executor costs time only.
     """
-    weight = edges.groupBy("vault", "src", "target").agg(F.count(F.lit(1)).alias("c"))
-    total = edges.groupBy("vault", "src").agg(F.count(F.lit(1)).alias("o"))
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weight = cut(edges.groupBy("vault", "src", "target").agg(F.count(F.lit(1)).alias("c")), "pagerank-weights")
+    total = weight.groupBy("vault", "src").agg(F.sum("c").alias("o"))
     links = cut(weight.join(total, ["vault", "src"]).select("vault", F.col("src").alias("node"), "target", (F.col("c") / F.col("o")).alias("w")), "pagerank-links")
     sizes = nodes.groupBy("vault").agg(F.count(F.lit(1)).alias("n"))
     base = cut(join_unique(nodes.select("vault", "node"), sizes, ["vault"]), "pagerank-nodes")
+    links = links.repartition(n, "vault", "node").persist()
+    base = base.repartition(n, "vault", "node").persist()
     ranks = base.withColumn("rank", F.lit(1.0) / F.col("n"))
     for i in range(1, iterations + 1):
         given = ranks.join(links, ["vault", "node"]).groupBy("vault", F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         rank = (1 - damping) / F.col("n") + damping * F.coalesce(F.col("got"), F.lit(0.0))
         ranks = base.join(given, ["vault", "node"], "left").select("vault", "node", "n", rank.alias("rank"))
-        if i % 5 == 0 and i < iterations:
+        if i % 5 == 0 or i == iterations:
             ranks = cut(ranks, "pagerank")
+    links.unpersist()
+    base.unpersist()
     return ranks.select("vault", "node", "rank")

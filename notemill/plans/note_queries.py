@@ -10,6 +10,7 @@ from notemill.operators import links as L
 from notemill.operators import tags as G
 from notemill.operators.listing import file_metadata, listed, recent, vault_health
 from notemill.operators.notes import index_stats, notes_table
+from notemill.session import cut
 from notemill.sources.tables import table
 
 
@@ -60,7 +61,8 @@ def _tags(spark: SparkSession, folder: str) -> DataFrame:
 
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     notes = base(spark, folder)
-    edges = L.link_edges(notes)
+    # read several times by what follows
+    edges = cut(L.link_edges(notes), "edges")
     return notes, edges, L.link_nodes(notes, edges)
 
 
