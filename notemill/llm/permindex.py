@@ -29,7 +29,7 @@ from notemill.session import cut
 #: Pivots per space: one for each ``PER_PIVOT`` vectors, within these bounds.
 MIN_PIVOTS, MAX_PIVOTS, PER_PIVOT = 32, 4096, 20
 #: Length of the permutations, and entries of a file that are reranked by cosine for each query.
-LISTED, RERANKED = 8, 64
+LISTED, RERANKED = 10, 96
 BLOCK = 4096
 #: What half-precision rerank may lose.
 SLACK = 0.004
@@ -214,7 +214,8 @@ def nearest(rows: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     else:
         posts = posts.select("file", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("side"), "id", "perm", "half")
     near = posts.repartition("file", "i", "j").sortWithinPartitions("file", "i", "j").mapInArrow(_search_lists(k, least - SLACK), "a bigint, b bigint, near float")
-    # each a has at most k rows per file it is in
+    # each a has at most k rows per file it is in; what one side found, the other may take as well
+    near = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "near").select("p.a", "p.b", "near")
     best = near.groupBy("a", "b").agg(F.max("near").alias("near"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))).where(F.col("r") <= 2 * k).select("a", "b")
     vec = kept.select("id", "vec")

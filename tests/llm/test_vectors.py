@@ -82,10 +82,10 @@ def test_invalid_vectors(spark):
 
 def test_footrule_equals_its_definition():
     rng = np.random.default_rng(6)
-    perms = np.array([rng.permutation(20)[:8] for _ in range(60)], np.int16)
+    perms = np.array([rng.permutation(30)[:10] for _ in range(60)], np.int16)
     shared = P.footrule_shared(perms[:10], perms)
     for i in range(10):
         for j in range(60):
             a, b = {p: k for k, p in enumerate(perms[i])}, {p: k for k, p in enumerate(perms[j])}
-            foot = sum(abs(a.get(p, 8) - b.get(p, 8)) for p in a.keys() | b.keys())
-            assert foot == 8 * 9 - 2 * int(shared[i, j])
+            foot = sum(abs(a.get(p, 10) - b.get(p, 10)) for p in a.keys() | b.keys())
+            assert foot == 10 * 11 - 2 * int(shared[i, j])
