@@ -9,8 +9,8 @@ substring around the window is compared character by character.
 Copies of whole texts are collapsed before (the report names each copy); a window that very many texts share is
 handled by its whole spans (``HOT``), so that no list of a window is compared within one task.
 
-The sketch holds two bits per counter (0, 1, many), sized to the corpus up to ``MAX_WIDTH`` counters a row; in a larger
-corpus it lets more single windows through, and loses none.
+The sketch holds two bits per counter (seen once, seen twice), sized to the corpus up to ``MAX_WIDTH`` counters a row, which
+are 200 MB in a task and 100 MB broadcast; in a larger corpus it lets more single windows through, and loses none.
 """
 
 from __future__ import annotations
@@ -44,60 +44,62 @@ def _cells(h: np.ndarray, width: int) -> list[np.ndarray]:
     return [(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)) & np.uint64(width - 1)).astype(np.int64) for r in range(DEPTH)]
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    c = counts.reshape(-1, 4)
-    return zlib.compress((c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes(), 1)
+def _mark(once: np.ndarray, twice: np.ndarray, cells: np.ndarray) -> None:
+    """Count cells into two bitmaps: seen at least once, seen at least twice."""
+    at, n = np.unique(cells, return_counts=True)
+    byte, bit = at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+    again = ((once[byte] & bit) > 0) | (n > 1)
+    np.bitwise_or.at(twice, byte[again], bit[again])
+    np.bitwise_or.at(once, byte, bit)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    b = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.stack([b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6], axis=1).ravel()
+def _both(once: np.ndarray, twice: np.ndarray) -> bytes:
+    return zlib.compress(once.tobytes() + twice.tobytes(), 1)
 
 
-def _add(counts: np.ndarray, cells: np.ndarray) -> None:
-    """Saturating increments: 0, 1, many."""
-    at, n = np.unique(cells, return_counts=True)
-    counts[at] = np.minimum(counts[at] + np.minimum(n, 2), 2)
+def _halves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(zlib.decompress(data), np.uint8)
+    return x[: len(x) // 2], x[len(x) // 2 :]
 
 
 def _sketches(span: int, width: int):
     k, w = _k(span), span - _k(span) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((DEPTH, width), np.uint8)
-        seen = False
+        once, twice = np.zeros((DEPTH, width // 8), np.uint8), np.zeros((DEPTH, width // 8), np.uint8)
         for b in batches:
             for _, cp, starts in batches_of(b.column(1).to_pylist()):
                 h = winnowed(cp, starts, k, w)[2]
-                seen = seen or len(h) > 0
                 for r, cells in enumerate(_cells(h, width)):
-                    _add(counts[r], cells)
-        if seen:
-            for r in range(DEPTH):
-                for s, part in enumerate(np.split(counts[r], SLICES)):
-                    if part.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([r * SLICES + s], pa.int32()), pa.array([_packed(part)], pa.binary())], ["slice", "data"])
+                    _mark(once[r], twice[r], cells)
+        for r in range(DEPTH):
+            for s, (a, c) in enumerate(zip(np.split(once[r], SLICES), np.split(twice[r], SLICES), strict=True)):
+                if a.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([r * SLICES + s], pa.int32()), pa.array([_both(a, c)], pa.binary())], ["slice", "data"])
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of each slice that all tasks together saw at least twice."""
     for (s,), t in groups(batches, ["slice"]):
-        total = None
+        once = twice = None
         for x in t.column("data"):
-            part = _unpacked(x.as_py())
-            total = part if total is None else np.minimum(total + part, 2)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(total.astype(np.uint8))], pa.binary())], ["slice", "data"])
+            a, c = _halves(x.as_py())
+            twice = c if once is None else twice | c | (once & a)
+            once = a if once is None else once | a
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["slice", "data"])
 
 
 def window_sketch(docs: DataFrame, span: int, width: int) -> np.ndarray:
-    """The merged sketch (DEPTH x width) of the selected windows of (id, text); its size is fixed by ``width``."""
+    """(DEPTH x width / 8) bytes: a bit for each counter of the merged sketch that is 2 or more, of the selected windows of
+    (id, text).  Its size is fixed by ``width``."""
     parts = docs.select("id", "text").mapInArrow(_sketches(span, width), "slice int, data binary")
     merged = parts.repartition(DEPTH * SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, data binary").collect()
-    out = np.zeros((DEPTH * SLICES, width // SLICES), np.uint8)
+    out = np.zeros((DEPTH * SLICES, width // 8 // SLICES), np.uint8)
     for r in merged:
-        out[r["slice"]] = _unpacked(bytes(r["data"]))
-    return out.reshape(DEPTH, width)
+        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
+    return out.reshape(DEPTH, width // 8)
 
 
 def _repeated(span: int, width: int, sketch):
@@ -106,14 +108,14 @@ def _repeated(span: int, width: int, sketch):
     side = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.unpackbits(np.frombuffer(zlib.decompress(sketch.value), np.uint8)).view(bool).reshape(DEPTH, width)
+        many = np.frombuffer(zlib.decompress(sketch.value), np.uint8).reshape(DEPTH, width // 8)
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
             for which, cp, starts in batches_of(texts):
                 doc, at, h = winnowed(cp, starts, k, w)
                 keep = np.ones(len(h), bool)
                 for r, cells in enumerate(_cells(h, width)):
-                    keep &= many[r, cells]
+                    keep &= (many[r, cells >> 3] >> (cells & 7).astype(np.uint8) & 1) > 0
                 doc, at, h = doc[keep], at[keep], h[keep]
                 pos = at - starts[doc]
                 rows = [(which[d], int(p)) for d, p in zip(doc, pos, strict=True)]
@@ -217,7 +219,7 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int) -> tupl
     spare = F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare
     unique = rows.join(spare, "id", "left_anti")
     sketch = window_sketch(unique, span, width)
-    shipped = spark.sparkContext.broadcast(zlib.compress(np.packbits(sketch >= 2).tobytes(), 1))
+    shipped = spark.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
     found = cut(unique.select("id", "text").mapInArrow(_repeated(span, width, shipped), "win bigint, id bigint, pos int, lead int, context string"), "spans-windows")
     hot = found.groupBy("win").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("win")
     cold = found.join(hot, "win", "left_anti").repartition("win").sortWithinPartitions("win", "id", "pos").mapInArrow(_compared(span), "a bigint, b bigint, start int, end int")
