@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.operators.order import numbered
 from notemill.operators.skew import join_unique
 from notemill.session import cut
 
@@ -380,13 +381,12 @@ def exported(nodes: DataFrame, edges: DataFrame, form: str, escape: bool = False
         ]
     elif form == "gexf":
         x = (lambda c: _escaped(F.col(c))) if escape else F.col
-        num = F.row_number().over(Window.partitionBy("scope").orderBy("at")) - 1
         head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n  <graph mode="static" defaultedgetype="undirected">\n    <nodes>'
         parts = [
             (0, scopes.select("scope", none.alias("at"), F.lit(head).alias("line"))),
             (1, n.select("scope", "at", F.concat(F.lit('      <node id="'), x("id"), F.lit('" label="'), x("label"), F.lit('" />')).alias("line"))),
             (2, scopes.select("scope", none.alias("at"), F.lit("    </nodes>\n    <edges>").alias("line"))),
-            (3, e.withColumn("i", num).select("scope", "at", F.concat(F.lit('      <edge id="'), F.col("i").cast("string"), F.lit('" source="'), x("source"), F.lit('" target="'), x("target"), F.lit('" weight="1" />')).alias("line"))),
+            (3, numbered(e, "scope", ["at", "target"], "i").select("scope", "at", F.concat(F.lit('      <edge id="'), F.col("i").cast("string"), F.lit('" source="'), x("source"), F.lit('" target="'), x("target"), F.lit('" weight="1" />')).alias("line"))),
             (4, scopes.select("scope", none.alias("at"), F.lit("    </edges>\n  </graph>\n</gexf>").alias("line"))),
         ]
     elif form == "json":

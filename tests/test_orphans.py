@@ -1,6 +1,7 @@
 from datetime import datetime as D
 
 from notemill.operators.orphans import PARENT_COLUMNS, REF_COLUMNS, OrphanState, advance, orphans, replay, snapshot
+from notemill.operators.order import numbered
 from notemill.operators.skew import hot_keys, join_unique
 
 
@@ -55,3 +56,11 @@ def test_hot_keys_join_without_loss(spark):
     got = join_unique(left, right, ["k"])
     assert got.count() == 900 and got.where("v = 1").count() == 600 and got.where("v = 2").count() == 1
     assert {r["k"] for r in hot_keys(left, ["k"]).collect()} == {"hot", None}
+
+
+def test_numbers_follow_the_order_across_partitions(spark):
+    rows = [("hot" if i % 5 else f"s{i % 3}", (i * 37) % 1000) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "scope string, k int").repartition(7), "scope", ["k"], "n").collect()
+    for scope in {s for s, _ in rows}:
+        mine = sorted((r["n"], r["k"]) for r in got if r["scope"] == scope)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [k for _, k in mine] == sorted(k for s, k in rows if s == scope)
