@@ -50,7 +50,8 @@ def folded(text: str) -> list[bytes]:
     """The folded words of a text."""
     b = text.replace("\xa0", " ").replace("…", " ").replace("–", " ").replace("—", " ").encode("ascii", "ignore")
     b = b.translate(_BLANK, _DROP).translate(_LOWER)
-    b = b.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"cl", b"d").translate(_FOLD)
+    # a sharp s is lost beyond ASCII, and its capital form is two letters; d is spelled out, for cl and el may both be one
+    b = b.replace(b"ss", b"").replace(b"rn", b"m").replace(b"vv", b"w").replace(b"d", b"cl").translate(_FOLD)
     return b.split()
 
 
