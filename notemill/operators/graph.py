@@ -342,16 +342,90 @@ def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"scope": pdf["scope"].iloc[0], "kind": [x[0] for x in out], "a": [x[1] for x in out], "b": [x[2] for x in out]}, columns=["scope", "kind", "a", "b"]).astype({"kind": object, "a": object, "b": object})
 
 
+def _ancestors(tree: DataFrame) -> list[DataFrame]:
+    """(scope, id, up) per power of two: the ancestor so many levels up, where there is one."""
+    ups = [cut(tree.where("parent IS NOT NULL").select("scope", "id", F.col("parent").alias("up")), "ancestors")]
+    while True:
+        last = ups[-1]
+        far = join_unique(last, last.select("scope", F.col("id").alias("up"), F.col("up").alias("far")), ["scope", "up"])
+        far = cut(far.where("far IS NOT NULL").select("scope", "id", F.col("far").alias("up")), "ancestors")
+        if far.isEmpty():
+            return ups
+        ups.append(far)
+
+
+def _of_subtrees(rows: DataFrame, ups: list[DataFrame], how: dict) -> DataFrame:
+    """``rows`` (scope, id, ...) with each column of ``how`` taken together over the node's subtree: (aggregate, of two)."""
+    for up in ups:
+        got = up.join(rows.select("scope", "id", *how), ["scope", "id"]).groupBy("scope", F.col("up").alias("id")).agg(*[f(c).alias(f"_{c}") for c, (f, _) in how.items()])
+        rows = rows.join(got, ["scope", "id"], "left").withColumns({c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(two(F.col(c), F.col(f"_{c}"))) for c, (_, two) in how.items()})
+        rows = cut(rows.drop(*[f"_{c}" for c in how]), "subtrees")
+    return rows
+
+
+def _cuts_together(e: DataFrame) -> DataFrame:
+    """Bridges and cut vertices of components (scope, component, a, b) of any size, after Tarjan and Vishkin.
+
+    A breadth-first tree is grown level by level, so rounds grow with its depth; numbers in preorder and what the edges
+    beside the tree reach from each subtree then take rounds in the logarithm of the depth.  An edge of the tree is named by
+    its lower end; those on a common cycle are linked, and the components of these links are the blocks.
+    """
+    adj = cut(e.where("a <> b").select("scope", "a", "b"), "cuts-edges")
+    level = e.select("scope", F.col("component").alias("id")).distinct().select("scope", "id", F.lit(None).cast("string").alias("parent"))
+    levels = [cut(level, "cuts-tree")]
+    while True:
+        step = levels[-1].select("scope", F.col("id").alias("a")).join(adj, ["scope", "a"]).groupBy("scope", F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        for old in levels[-2:]:
+            step = step.join(old, ["scope", "id"], "left_anti")
+        level = cut(step, "cuts-tree")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    tree = levels[0]
+    for x in levels[1:]:
+        tree = tree.unionByName(x)
+    tree = cut(tree, "cuts-tree")
+    ups = _ancestors(tree)
+    tree = _of_subtrees(tree.withColumn("size", F.lit(1).cast("bigint")), ups, {"size": (F.sum, lambda x, y: x + y)})
+    # a child is numbered after its parent and the subtrees of the children before it
+    before = F.sum("size").over(Window.partitionBy("scope", "parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    tree = cut(tree.withColumn("pre", F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(before, F.lit(0)))), "cuts-tree")
+    for up in ups:
+        add = join_unique(up, tree.select("scope", F.col("id").alias("up"), F.col("pre").alias("add")), ["scope", "up"]).select("scope", "id", "add")
+        tree = cut(tree.join(add, ["scope", "id"], "left").withColumn("pre", F.col("pre") + F.coalesce("add", F.lit(0))).drop("add"), "cuts-tree")
+    # a breadth-first tree has no edges beside it between a node and its ancestors
+    ends = tree.select("scope", "id", "parent", "pre")
+    off = cut(join_unique(adj, ends.select("scope", F.col("id").alias("a"), F.col("parent").alias("up_a")), ["scope", "a"]), "cuts-edges")
+    off = join_unique(off, ends.select("scope", F.col("id").alias("b"), F.col("parent").alias("up_b"), F.col("pre").alias("pre_b")), ["scope", "b"])
+    off = cut(off.where("NOT (up_a <=> b) AND NOT (up_b <=> a)").select("scope", "a", "b", "pre_b"), "cuts-edges")
+    own = off.groupBy("scope", F.col("a").alias("id")).agg(F.min("pre_b").alias("l"), F.max("pre_b").alias("h"))
+    tree = tree.join(own, ["scope", "id"], "left").withColumns({"low": F.least("pre", "l"), "high": F.greatest("pre", "h")}).drop("l", "h")
+    tree = _of_subtrees(cut(tree, "cuts-tree"), ups, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
+    over = tree.select("scope", F.col("id").alias("parent"), F.col("parent").alias("above"), F.col("pre").alias("pre_up"), F.col("size").alias("size_up"))
+    child = cut(join_unique(tree.where("parent IS NOT NULL"), over, ["scope", "parent"]), "cuts-tree")
+    along = child.where("above IS NOT NULL AND (low < pre_up OR high >= pre_up + size_up)").select("scope", F.col("id").alias("a"), F.col("parent").alias("b"))
+    same = off.select("scope", "a", "b").unionByName(along).unionByName(along.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
+    block = cut(components(child.select("scope", "id"), same), "cuts-blocks")
+    met = child.select("scope", "id", "parent").join(block, ["scope", "id"]).select("scope", F.explode(F.array("id", "parent")).alias("a"), "component")
+    points = met.groupBy("scope", "a").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    bridges = child.where("low >= pre AND high < pre + size").select("scope", F.lit("bridge").alias("kind"), F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    return bridges.unionByName(points.select("scope", F.lit("articulation").alias("kind"), "a", F.lit(None).cast("string").alias("b")))
+
+
 def bridges_and_articulation(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """(scope, kind, a, b): bridges (a < b) and articulation points (b null) of components up to ``ONE_TASK_EDGES``.
+    """(scope, kind, a, b): bridges (a < b) and articulation points (b null).
 
-    A greater component raises an error rather than being left out.
+    A component up to ``ONE_TASK_EDGES`` is worked within one task, a greater one by joins; both are exact.
     """
+    adj = cut(adj, "cuts-edges")
     comp = components(nodes, adj)
     e = cut(join_unique(adj, comp.select("scope", F.col("id").alias("a"), "component"), ["scope", "a"]), "cuts")
-    if e.groupBy("scope", "component").count().where(F.col("count") > ONE_TASK_EDGES).limit(1).count():
-        raise ValueError(f"a component has more than {ONE_TASK_EDGES} edges")
-    return e.groupBy("scope", "component").applyInPandas(_cuts, "scope string, kind string, a string, b string")
+    sizes = e.groupBy("scope", "component").agg((F.count(F.lit(1)) > ONE_TASK_EDGES).alias("big"))
+    e = cut(join_unique(e, sizes, ["scope", "component"]), "cuts")
+    out = e.where("NOT big").drop("big").groupBy("scope", "component").applyInPandas(_cuts, "scope string, kind string, a string, b string")
+    if e.where("big").limit(1).count():
+        out = out.unionByName(_cuts_together(e.where("big")))
+    return out
 
 
 def _escaped(c: Column) -> Column:

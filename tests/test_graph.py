@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 
 from notemill.operators import graph as A
+from notemill.session import cut
 
 
 def build(spark, seed, n=14, m=20):
@@ -96,6 +97,20 @@ def test_components_and_cuts(spark):
     assert {r["a"] for r in cuts if r["kind"] == "articulation"} == {i for i in ids if parts(drop_node=i) > base}
 
 
+@pytest.mark.parametrize(("n", "m"), [(30, 24), (40, 46)])
+def test_cuts_of_components_too_great_for_one_task(spark, monkeypatch, n, m):
+    ids, near, nodes, adj = build(spark, n, n=n, m=m)
+    chain = [f"x{i}" for i in range(9)]  # a path that ends in a triangle
+    pairs = [*zip(chain, chain[1:]), ("x6", "x8")]
+    adj = cut(adj.unionByName(spark.createDataFrame([("h", *p) for a, b in pairs for p in ((a, b), (b, a))], adj.schema)))
+    nodes = nodes.unionByName(spark.createDataFrame([("h", x, x) for x in chain], nodes.schema))
+    want = set(map(tuple, A.bridges_and_articulation(nodes, adj).collect()))
+    assert {("h", "bridge", "x5", "x6"), ("h", "articulation", "x6", None)} <= want and ("h", "bridge", "x6", "x7") not in want
+    monkeypatch.setattr(A, "ONE_TASK_EDGES", 1)
+    got = list(map(tuple, A.bridges_and_articulation(nodes, adj).collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_communities(spark, monkeypatch):
     groups = [[f"{g}{i}" for i in range(5)] for g in "abc"]
     edges = [(x, y) for g in groups for i, x in enumerate(g) for y in g[i + 1 :]] + [("a0", "b0"), ("b1", "c1")]
