@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from notemill.operators.order import numbered
 from notemill.operators.skew import join_unique
 from notemill.session import cut
 
-#: A scope (or component) with at most so many adjacency rows may be handled within one task.
+#: Bridges of a component with at most so many adjacency rows are found within one task.
 ONE_TASK_EDGES = 200_000
 
 
@@ -198,23 +201,28 @@ def modularity(adj: DataFrame, communities: DataFrame, resolution: float = 1.0)
     return communities.select("scope").distinct().join(got, "scope", "left").select("scope", F.coalesce("modularity", F.lit(0.0)).alias("modularity"))
 
 
-def _local_moving(resolution: float, sweeps: int):
-    """Single-level local moving of one connected component."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m2 = float(pdf["m2"].iloc[0])
-        firsts = pdf[["a", "ord"]].drop_duplicates("a").sort_values("ord", kind="stable")
-        order = firsts["a"].tolist()
-        near: dict[str, list[str]] = defaultdict(list)
-        for a, b in pdf.sort_values(["ord", "ord_b"], kind="stable")[["a", "b"]].itertuples(index=False):
-            near[a].append(b)
-        k = {a: float(len(v)) for a, v in near.items()}
-        com = {a: i for i, a in enumerate(order)}
-        for _ in range(sweeps):
-            moved = False
-            for a in order:
+def _local_moving(resolution: float):
+    """Single-level local moving of one connected component: (scope, c, i, near, m2), a row per node with its neighbours in order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        m2 = t["m2"][0].as_py()
+        ids = t["i"].to_numpy()
+        count = pc.list_value_length(t["near"]).to_numpy()
+        start = [0, *np.cumsum(count, dtype=np.int64).tolist()]
+        to = np.searchsorted(ids, pc.list_flatten(t["near"]).to_numpy()).astype(np.int32)
+        k = count.astype(float).tolist()
+        com = list(range(len(ids)))
+        # a node whose neighbours have stayed since its last turn would stay as well
+        due = bytearray(b"\1") * len(ids)
+        while any(due):
+            for a in range(len(ids)):
+                if not due[a]:
+                    continue
+                due[a] = 0
+                near = to[start[a] : start[a + 1]].tolist()
                 gain: dict[int, float] = {}
-                for b in near[a]:
+                for b in near:
                     if b != a:
                         gain[com[b]] = gain.get(com[b], 0.0) + 2 * (1 - resolution * k[a] * k[b] / m2) / m2
                 stay = gain.get(com[a], 0.0)
@@ -223,59 +231,38 @@ def _local_moving(resolution: float, sweeps: int):
                     if c != com[a] and g - stay > most:
                         best, most = c, g - stay
                 if best != com[a]:
-                    com[a], moved = best, True
-            if not moved:
-                break
-        name: dict[int, str] = {}
-        for a in order:
-            name.setdefault(com[a], a)
-        return pd.DataFrame({"scope": pdf["scope"].iloc[0], "id": order, "community": [name[com[a]] for a in order]})
+                    com[a] = best
+                    for b in near:
+                        due[b] = 1
+        name: dict[int, int] = {}
+        for a, c in enumerate(com):
+            name.setdefault(c, a)
+        first = ids[[name[c] for c in com]]
+        return pa.table({"scope": t["scope"], "i": ids, "first": first})
 
     return run
 
 
-def communities(nodes: DataFrame, adj: DataFrame, resolution: float = 1.0, sweeps: int = 100, rounds: int = 20) -> DataFrame:
+def communities(nodes: DataFrame, adj: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(scope, id, community): modularity communities by moving single nodes, named by their first node.
 
-    Gains are local and moves never cross components, so every component up to ``ONE_TASK_EDGES`` is worked in the
-    model's node order within one task.  Greater components move their nodes together, half of them at a time by
-    a hash, for at most ``rounds`` rounds; that partition may differ from the sequential one.
+    Nodes move in the model's order, sweep by sweep, until none does.  Every move counts on those before it, so a component
+    is one task whatever its size; it gets numbers in place of names, a list of neighbours per node.  Gains are local
+    and moves never cross components.
     """
     adj = cut(adj, "communities")
-    comp = components(nodes, adj)
-    m2 = adj.groupBy("scope").agg(F.count(F.lit(1)).alias("m2"))
-    e = cut(join_unique(adj, comp.select("scope", F.col("id").alias("a"), "component"), ["scope", "a"]), "communities")
-    e = cut(join_unique(e, m2, ["scope"]), "communities")
-    ords = nodes.select("scope", F.col("id").alias("a"), "ord")
-    e = cut(join_unique(e, ords, ["scope", "a"]), "communities")
-    e = cut(join_unique(e, ords.select("scope", F.col("a").alias("b"), F.col("ord").alias("ord_b")), ["scope", "b"]), "communities")
-    sizes = e.groupBy("scope", "component").agg((F.count(F.lit(1)) > ONE_TASK_EDGES).alias("big"))
-    e = cut(join_unique(e, sizes, ["scope", "component"]), "communities")
-    small = e.where("NOT big").groupBy("scope", "component").applyInPandas(_local_moving(resolution, sweeps), "scope string, id string, community string")
-    out = small
-    if e.where("big").limit(1).count():
-        out = out.unionByName(_moving_together(e.where("big"), resolution, rounds))
-    return nodes.select("scope", "id").join(out, ["scope", "id"], "left").select("scope", "id", F.coalesce("community", "id").alias("community"))
-
-
-def _moving_together(e: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    k = e.groupBy("scope", "a").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    com = cut(k.select("scope", F.col("a").alias("id"), F.col("a").alias("community")), "communities")
-    e = join_unique(join_unique(e.select("scope", "a", "b", "m2"), k, ["scope", "a"]), k.select("scope", F.col("a").alias("b"), F.col("k").alias("kb")), ["scope", "b"])
-    e = cut(e.where("a <> b").select("scope", "a", "b", (2 * (1 - resolution * F.col("k") * F.col("kb") / F.col("m2")) / F.col("m2")).alias("g")), "communities")
-    for i in range(rounds):
-        gain = join_unique(e, com.select("scope", F.col("id").alias("b"), "community"), ["scope", "b"]).groupBy("scope", "a", "community").agg(F.sum("g").alias("g"))
-        own = com.select("scope", F.col("id").alias("a"), F.col("community").alias("now"))
-        g = gain.join(own, ["scope", "a"])
-        best = g.groupBy("scope", "a").agg(F.max(F.when(F.col("community") == F.col("now"), F.col("g"))).alias("stay"), F.max(F.when(F.col("community") != F.col("now"), F.struct("g", "community"))).alias("best"))
-        turn = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
-        better = best.where(turn & (F.col("best.g") - F.coalesce("stay", F.lit(0.0)) > 1e-12)).select("scope", F.col("a").alias("id"), F.col("best.community").alias("to"))
-        com = cut(com.join(better, ["scope", "id"], "left").select("scope", "id", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "communities")
-        still = com.where("moved").limit(1).count()
-        com = com.drop("moved")
-        if not still and i % 2:
-            break
-    return com.select("scope", "id", "community")
+    numbers = cut(numbered(nodes.select("scope", "id", "ord"), "scope", ["ord", "id"], "i").select("scope", "id", F.col("i").cast("int").alias("i")), "communities")
+    comp = components(nodes, adj).join(numbers, ["scope", "id"])
+    comp = cut(comp.select("scope", "i", F.col("component").alias("id")), "communities")
+    comp = join_unique(comp, numbers.withColumnRenamed("i", "c"), ["scope", "id"]).select("scope", "i", "c")
+    e = cut(join_unique(adj, numbers.select("scope", F.col("id").alias("a"), "i"), ["scope", "a"]).select("scope", "i", "b"), "communities")
+    e = join_unique(e, numbers.select("scope", F.col("id").alias("b"), F.col("i").alias("j")), ["scope", "b"])
+    near = e.groupBy("scope", "i").agg(F.sort_array(F.collect_list("j")).alias("near"))
+    m2 = adj.groupBy("scope").agg(F.count(F.lit(1)).cast("double").alias("m2"))
+    near = join_unique(cut(near.join(comp, ["scope", "i"]), "communities"), m2, ["scope"]).select("scope", "c", "i", "near", "m2")
+    got = cut(near.groupBy("scope", "c").applyInArrow(_local_moving(resolution), "scope string, i int, first int"), "communities")
+    got = join_unique(got, numbers.select("scope", F.col("i").alias("first"), F.col("id").alias("community")), ["scope", "first"]).select("scope", "i", "community")
+    return numbers.join(got, ["scope", "i"], "left").select("scope", "id", F.coalesce("community", "id").alias("community"))
 
 
 def cluster_stats(adj: DataFrame, com: DataFrame) -> DataFrame:

@@ -128,3 +128,32 @@ def test_communities(spark, monkeypatch):
     monkeypatch.setattr(A, "ONE_TASK_EDGES", 1)  # all move together
     other = {r["id"]: r["community"] for r in A.communities(nodes, adj).collect()}
     assert len(set(other.values())) < len(other) / 2
+
+
+def brute_communities(ids, near):
+    """The model's sweeps over all nodes in order, until no node moves."""
+    m2 = sum(map(len, near.values()))
+    com, moved = {i: i for i in ids}, True
+    while moved:
+        moved = False
+        for a in ids:
+            gain = {com[a]: 0.0}
+            for b in sorted(near[a] - {a}):
+                gain[com[b]] = gain.get(com[b], 0.0) + 2 * (1 - len(near[a]) * len(near[b]) / m2) / m2
+            best = com[a]
+            for c in gain:
+                if gain[c] - gain[best] > 1e-12:
+                    best = c
+            com[a], moved = best, moved or best != com[a]
+    first = {}
+    for i in ids:
+        first.setdefault(com[i], i)
+    return {i: first[com[i]] for i in ids}
+
+
+def test_communities_do_not_depend_on_the_size(spark, monkeypatch):
+    ids, near, nodes, adj = build(spark, 5, n=60, m=110)
+    want = brute_communities(ids, near)
+    for most in (200_000, 1):
+        monkeypatch.setattr(A, "ONE_TASK_EDGES", most)
+        assert {r["id"]: r["community"] for r in A.communities(nodes, adj).collect()} == want
