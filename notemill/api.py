@@ -79,9 +79,11 @@ class NoteEngine:
         return name, self.vaults[name]
 
     # ---- search ------------------------------------------------------------------------------------------------------
+    def _semantic(self, query: str) -> DataFrame | None:
+        return best_chunks(self.vectors(), self.provider.embed([query])[0].tolist()) if self.provider and query.strip() else None
+
     def search_content(self, query: str, vault: str | None = None, filters: search.Filters | None = None, limit: int = 20, threshold: float = 0.0, now: datetime | None = None) -> DataFrame:
-        semantic = best_chunks(self.vectors(), self.provider.embed([query])[0].tolist()) if self.provider and query.strip() else None
-        return search.search(self._in(vault), query, plain_text("content"), self.ranks(), now or datetime.now(timezone.utc).replace(tzinfo=None), filters, self.note_tags, semantic, limit, threshold)
+        return search.search(self._in(vault), query, plain_text("content"), self.ranks(), now or datetime.now(timezone.utc).replace(tzinfo=None), filters, self.note_tags, self._semantic(query), limit, threshold)
 
     def semantic_search(self, query: str, vault: str | None = None, limit: int = 10, threshold: float = 0.7) -> DataFrame:
         best = best_chunks(self._in(vault, self.vectors()), self.provider.embed([query])[0].tolist())
@@ -90,8 +92,10 @@ class NoteEngine:
     def text_search(self, query: str, vault: str | None = None, case_sensitive: bool = False, limit: int = 20) -> DataFrame:
         return search.text_search(self._in(vault), query, plain_text("content"), limit, case_sensitive)
 
-    def bulk_search(self, queries: Sequence[str], vault: str | None = None, limit: int = 10, combine: bool = False) -> DataFrame:
-        return search.bulk_search(self._in(vault), queries, plain_text("content"), limit, combine)
+    def bulk_search(self, queries: Sequence[str], vault: str | None = None, limit: int = 10, combine: bool = False, threshold: float = 0.0, now: datetime | None = None) -> DataFrame:
+        now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+        semantic = {q: self._semantic(q) for q in queries}
+        return search.bulk_search(self._in(vault), queries, plain_text("content"), self.ranks(), now, semantic, limit, combine, threshold)
 
     # ---- files -------------------------------------------------------------------------------------------------------
     def read_file(self, path: str, vault: str | None = None) -> DataFrame:

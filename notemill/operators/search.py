@@ -7,7 +7,7 @@ The reference time ``now`` is an argument: results do not depend on when they ar
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -166,12 +166,29 @@ def search(
     return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "ord").limit(limit)
 
 
-def bulk_search(notes: DataFrame, queries: Sequence[str], plain: Column, limit: int = 10, combined: bool = True) -> DataFrame:
-    """Text search of several queries: (query, vault, path, ord, score); combined, the best limit * queries of all."""
-    parts = [text_search(notes, q, plain, limit).select(F.lit(q).alias("query"), "vault", "path", "ord", "score") for q in queries]
-    if not parts:
+def _together(parts: Sequence[tuple[str, DataFrame]], notes: DataFrame, limit: int, combined: bool) -> DataFrame:
+    out = None
+    for q, found in parts:
+        part = found.select(F.lit(q).alias("query"), "vault", "path", "ord", "score")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         return notes.select(F.lit("").alias("query"), "vault", "path", "ord", F.lit(0.0).alias("score")).where(F.lit(False))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.orderBy(F.desc("score"), "query", "ord").limit(limit * len(queries)) if combined else out
+    return out.orderBy(F.desc("score"), "query", "ord").limit(limit * len(parts)) if combined else out
+
+
+def bulk_search(
+    notes: DataFrame, queries: Sequence[str], plain: Column, ranks: DataFrame, now: datetime | str, semantic: Mapping[str, DataFrame] | None = None,
+    limit: int = 10, combined: bool = True, threshold: float = 0.0, weights: Weights = Weights(),
+) -> DataFrame:
+    """Hybrid search of several queries: (query, vault, path, ord, score); combined, the best limit * queries of all.
+
+    ``semantic`` has the semantic hits (vault, path, score) by query.
+    """
+    hits_of = semantic or {}
+    parts = [(q, search(notes, q, plain, ranks, now, semantic=hits_of.get(q), limit=limit, threshold=threshold, weights=weights)) for q in queries]
+    return _together(parts, notes, limit, combined)
+
+
+def bulk_text_search(notes: DataFrame, queries: Sequence[str], plain: Column, limit: int = 10, combined: bool = True) -> DataFrame:
+    """As :func:`bulk_search`, with the scores of the text search alone."""
+    return _together([(q, text_search(notes, q, plain, limit)) for q in queries], notes, limit, combined)

@@ -15,6 +15,7 @@ from notemill.plans.note_queries import EDGES, LIVE, NOTE_TAGS, ORACLES as _NOTE
 from notemill.sources.tables import table
 
 QUERY, NOW = "garden coffee work", "2026-01-01 00:00:00"
+_BULK = ["garden", "coffee market", "zzz"]
 _FILTERS = S.Filters(tags=["inbox"], paths=["daily/", "^notes/"], start="2024-03-01", end="2025-12-31")
 
 
@@ -60,7 +61,14 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bulk_search(spark: SparkSession, folder: str) -> DataFrame:
-    return S.bulk_search(base(spark, folder), ["garden", "coffee market", "zzz"], _plain(), 10).select("query", "vault", "path", "ord", F.round("score", 6).alias("score"))
+    """The text part of the search of several queries."""
+    return S.bulk_text_search(base(spark, folder), _BULK, _plain(), 10).select("query", "vault", "path", "ord", F.round("score", 6).alias("score"))
+
+
+def bulk_search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    notes = base(spark, folder)
+    ranks = _ranks(notes)
+    return S.bulk_search(notes, _BULK, _plain(), ranks, NOW, limit=10).select("query", "vault", "path", "ord", F.round("score", 6).alias("score"))
 
 
 def _embeddings(spark: SparkSession, folder: str) -> tuple[DataFrame, list[float]]:
@@ -91,7 +99,7 @@ def embedding_normalized(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_search, text_search_case, text_matches, find_notes, search_filtered, relevance_parts, hybrid_search, bulk_search, semantic_search, most_similar, embedding_check, embedding_normalized)
+    for f in (text_search, text_search_case, text_matches, find_notes, search_filtered, relevance_parts, hybrid_search, bulk_search, bulk_search_hybrid, semantic_search, most_similar, embedding_check, embedding_normalized)
 }
 
 
@@ -128,6 +136,20 @@ _RELEVANCE = f"""rel AS (SELECT vault, path, ord, 0.0::DOUBLE AS semantic, CASE
 _PR = _NOTE_SQL["pagerank"].replace("round(r, 9) AS rank", "r AS rank")
 _PR_WITH, _PR_SELECT = _PR.rsplit("\nSELECT vault, node, r", 1)
 _FULL = _PR_WITH + f", ranks AS (SELECT vault, node, r{_PR_SELECT}), {_RELEVANCE}, full_score AS (SELECT rel.*, coalesce(rank, 0) AS backlinks, tags * 0.3::DOUBLE + recency * 0.2::DOUBLE + coalesce(rank, 0) * 0.1::DOUBLE AS score FROM rel LEFT JOIN ranks r ON r.vault = rel.vault AND r.node = rel.node)"
+
+
+def _bulk_hybrid_sql() -> str:
+    """The text candidates of each query, scored with their tags, recency and PageRank as in hybrid_search."""
+    out = [_FULL]
+    for i, q in enumerate(_BULK):
+        s = _text_sql(q).replace("hits AS", f"hits{i} AS").replace("scored AS", f"scored{i} AS").replace("FROM hits ", f"FROM hits{i} ")
+        tag = f"CASE WHEN coalesce(len(l.tags), 0) = 0 THEN 0 ELSE least(1.0::DOUBLE, ({' + '.join(_tag(t).replace('coalesce(tags,', 'coalesce(l.tags,') for t in q.split())}) / {len(q.split())}) END"
+        score = f"{tag} * 0.3::DOUBLE + f.recency * 0.2::DOUBLE + f.backlinks * 0.1::DOUBLE"
+        out.append(s + f""", keep{i} AS (SELECT vault, path FROM scored{i} ORDER BY score DESC, ord LIMIT 100),
+best{i} AS (SELECT '{q}' AS query, f.vault, f.path, f.ord, {score} AS score FROM full_score f JOIN keep{i} k ON k.vault = f.vault AND k.path = f.path JOIN live l ON l.ord = f.ord ORDER BY score DESC, f.ord LIMIT 10)""")
+    return ", ".join(out) + " SELECT query, vault, path, ord, round(score, 6) AS score FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1 UNION ALL SELECT * FROM best2) ORDER BY score DESC, query, ord LIMIT 30"
+
+
 ORACLES = {
     "text_search": LIVE + ", " + _text_sql(QUERY) + "SELECT vault, path, ord, content_hits, title_hits, tag_hits, score FROM scored ORDER BY score DESC, ord LIMIT 100",
     "text_search_case": LIVE + ", " + _text_sql("Garden Coffee", False) + "SELECT vault, path, ord, content_hits, title_hits, tag_hits, score FROM scored QUALIFY row_number() OVER (PARTITION BY vault ORDER BY score DESC, ord) <= 20",
@@ -150,6 +172,7 @@ WHERE (regexp_matches(l.path, 'daily/', 'i') OR regexp_matches(l.path, '^notes/'
     + _text_sql(QUERY)
     + ", keep AS (SELECT vault, path FROM scored ORDER BY score DESC, ord LIMIT 100) SELECT f.vault, f.path, f.ord, round(f.score, 6) AS score FROM full_score f JOIN keep k ON k.vault = f.vault AND k.path = f.path ORDER BY f.score DESC, f.ord LIMIT 20",
     "bulk_search": _bulk_sql(),
+    "bulk_search_hybrid": _bulk_hybrid_sql(),
     "semantic_search": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
 SELECT CAST(label AS VARCHAR) AS path, round(max(greatest(0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q))), 5) AS score FROM embeddings, q GROUP BY label""",
     "most_similar": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, q)

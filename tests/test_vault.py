@@ -56,6 +56,17 @@ def test_paths_stay_inside(root):
     assert V.markdown_text({}, "body") == "body" and V.split_text("plain") == ({}, "plain")
 
 
+def test_bulk_search_is_the_search_of_each_query(spark, root):
+    e = NoteEngine(spark, {"v": root}, provider=HashProvider(64))
+    at = datetime.now(timezone.utc).replace(tzinfo=None)
+    queries = ["gardens", "start guide", ""]
+    want = {(q, r["path"]): r["score"] for q in queries for r in e.search_content(q, limit=10, now=at).collect()}
+    each = {(r["query"], r["path"]): r["score"] for r in e.bulk_search(queries, now=at).collect()}
+    assert each == pytest.approx(want) and any(q == "start guide" for q, _ in each) and 0 < each["gardens", "notes/other.md"] < 1
+    best = e.bulk_search(queries, limit=1, combine=True, now=at).collect()
+    assert len(best) == 3 and best[0]["score"] == pytest.approx(max(want.values()))
+
+
 def test_engine(spark, root):
     t = [P.Template(r"^notes/", ["title"], {"title": {"type": "string"}}, "# {{title}}\n")]
     e = NoteEngine(spark, {"v": root}, t, [C.Rule("required-frontmatter"), C.Rule("heading-structure")], HashProvider(64))
