@@ -99,6 +99,62 @@ def note_bridges(spark: SparkSession, folder: str) -> DataFrame:
     return A.bridges_and_articulation(nodes, adj)
 
 
+#: Measures over all pairs take V * E work, so on notes they start from the first nodes of each vault: so many.
+SOURCES = 3
+
+
+def _note_dist(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, adj, _ = _notes(spark, folder)
+    first = F.row_number().over(Window.partitionBy("scope").orderBy("ord", "id"))
+    sources = nodes.withColumn("r", first).where(F.col("r") <= SOURCES).select("scope", "id")
+    return nodes, adj, A.distances(adj, sources)
+
+
+def note_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """From the first SOURCES nodes of each vault, as the three below."""
+    return _note_dist(spark, folder)[2]
+
+
+def note_path_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _r(A.path_stats(_note_dist(spark, folder)[2]), "average")
+
+
+def note_closeness(spark: SparkSession, folder: str) -> DataFrame:
+    return _r(A.closeness(_note_dist(spark, folder)[2]), "closeness")
+
+
+def note_betweenness(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, adj, dist = _note_dist(spark, folder)
+    return _r(A.betweenness(nodes, adj, dist), "betweenness")
+
+
+def note_betweenness_standard(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, adj, dist = _note_dist(spark, folder)
+    return _r(A.betweenness(nodes, adj, dist, standard=True), "betweenness")
+
+
+def note_eigenvector(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, adj, _ = _notes(spark, folder)
+    return _r(A.eigenvector(nodes, adj), "score")
+
+
+def note_modularity(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, adj, _ = _notes(spark, folder)
+    return _r(A.modularity(adj, A.communities(nodes, adj)), "modularity")
+
+
+def note_cohesion(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, adj, _ = _notes(spark, folder)
+    return _r(A.cluster_stats(adj, A.communities(nodes, adj)), "cohesion")
+
+
+def note_shortest_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Between the first and the last node by name of vault fieldwork that link anywhere, at any depth."""
+    edges = A.analyzer_edges(base(spark, folder), False).select("vault", F.col("source").alias("src"), "target")
+    ends = edges.where("vault = 'fieldwork'").agg(F.min("src"), F.max("src")).first()
+    return L.shortest_path(edges, "fieldwork", *ends, max_depth=10**6)
+
+
 def _export(form: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         notes = base(spark, folder)
@@ -168,6 +224,7 @@ QUERIES = {
     for f in (
         graph_nodes, graph_edges, graph_stats, graph_degree, graph_components, note_communities, note_cluster_tags, influential_degree, influential_pagerank, note_bridges, trade_distances,
         trade_path_stats, trade_closeness, trade_betweenness, trade_betweenness_standard, trade_eigenvector, trade_communities, region_modularity, region_cohesion, trade_shortest_path,
+        note_distances, note_path_stats, note_closeness, note_betweenness, note_betweenness_standard, note_eigenvector, note_modularity, note_cohesion, note_shortest_path,
     )
 } | {f"export_{x}": _export(x) for x in ("dot", "gexf", "json")}
 

@@ -1,11 +1,13 @@
 """Graph measures against plain Python on small random graphs."""
 
+import os
 import random
 from collections import deque
 
 import pytest
 
 from notemill.operators import graph as A
+from notemill.plans import graph_queries as Q
 from notemill.session import cut
 
 
@@ -157,3 +159,29 @@ def test_communities_do_not_depend_on_the_size(spark, monkeypatch):
     for most in (200_000, 1):
         monkeypatch.setattr(A, "ONE_TASK_EDGES", most)
         assert {r["id"]: r["community"] for r in A.communities(nodes, adj).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_measures_of_the_note_graph(spark):
+    folder = "/root/testdata/sf0.001"
+    nodes, adj, _ = Q._notes(spark, folder)
+    near = {}
+    for r in nodes.collect():
+        near.setdefault(r["scope"], {})[r["id"]] = set()
+    for r in adj.collect():
+        near[r["scope"]][r["a"]].add(r["b"])
+    order = {}
+    for r in nodes.orderBy("ord", "id").collect():
+        order.setdefault(r["scope"], []).append(r["id"])
+    want = {(v, s): bfs(near[v], s) for v in near for s in order[v][: Q.SOURCES]}
+    got = {(r["scope"], r["src"], r["node"]): r["dist"] for r in Q.QUERIES["note_distances"](spark, folder).collect()}
+    assert got == {(v, s, t): k for (v, s), d in want.items() for t, k in d.items()}
+    com = {v: brute_communities(order[v], near[v]) for v in near}
+    modularity = {r["scope"]: r["modularity"] for r in Q.QUERIES["note_modularity"](spark, folder).collect()}
+    for v in near:
+        m2 = sum(map(len, near[v].values()))
+        q = sum((1 - len(near[v][a]) * len(near[v][b]) / m2) / m2 for a in near[v] for b in near[v][a] if com[v][a] == com[v][b])
+        assert modularity[v] == pytest.approx(q, abs=1e-6)
+    path = [r["node"] for r in Q.QUERIES["note_shortest_path"](spark, folder).orderBy("step").collect()]
+    links = near["fieldwork"]
+    assert not path or (all(b in links[a] for a, b in zip(path, path[1:])) and len(path) == bfs(links, path[0])[path[-1]] + 1)
