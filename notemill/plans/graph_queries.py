@@ -75,9 +75,9 @@ def note_communities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def note_cluster_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most frequent tags of each connected component."""
+    """The five most frequent tags of each community."""
     nodes, adj, _ = _notes(spark, folder)
-    com = A.components(nodes, adj).withColumnRenamed("component", "community")
+    com = A.communities(nodes, adj)
     tags = note_tags(base(spark, folder)).select(F.col("vault").alias("scope"), F.concat(F.lit("file:"), F.col("path")).alias("id"), "tag")
     return A.cluster_tags(com, tags)
 

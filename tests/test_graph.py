@@ -7,7 +7,9 @@ from collections import deque
 import pytest
 
 from notemill.operators import graph as A
+from notemill.operators.tags import note_tags
 from notemill.plans import graph_queries as Q
+from notemill.plans.note_queries import base
 from notemill.session import cut
 
 
@@ -135,17 +137,18 @@ def test_communities(spark, monkeypatch):
 def brute_communities(ids, near):
     """The model's sweeps over all nodes in order, until no node moves."""
     m2 = sum(map(len, near.values()))
+    at = {i: n for n, i in enumerate(ids)}
     com, moved = {i: i for i in ids}, True
     while moved:
         moved = False
         for a in ids:
             gain = {com[a]: 0.0}
-            for b in sorted(near[a] - {a}):
+            for b in sorted(near[a] - {a}, key=at.get):
                 gain[com[b]] = gain.get(com[b], 0.0) + 2 * (1 - len(near[a]) * len(near[b]) / m2) / m2
-            best = com[a]
+            best, most = com[a], 1e-12
             for c in gain:
-                if gain[c] - gain[best] > 1e-12:
-                    best = c
+                if gain[c] - gain[com[a]] > most:
+                    best, most = c, gain[c] - gain[com[a]]
             com[a], moved = best, moved or best != com[a]
     first = {}
     for i in ids:
@@ -182,6 +185,12 @@ def test_measures_of_the_note_graph(spark):
         m2 = sum(map(len, near[v].values()))
         q = sum((1 - len(near[v][a]) * len(near[v][b]) / m2) / m2 for a in near[v] for b in near[v][a] if com[v][a] == com[v][b])
         assert modularity[v] == pytest.approx(q, abs=1e-6)
+    counts = {}
+    for r in note_tags(base(spark, folder)).collect():
+        c = counts.setdefault((r["vault"], com[r["vault"]]["file:" + r["path"]]), {})
+        c[r["tag"]] = c.get(r["tag"], 0) + 1
+    top = {(v, c, t): n for (v, c), x in counts.items() for t, n in sorted(x.items(), key=lambda y: (-y[1], y[0]))[:5]}
+    assert {(r["scope"], r["community"], r["tag"]): r["n"] for r in Q.QUERIES["note_cluster_tags"](spark, folder).collect()} == top
     path = [r["node"] for r in Q.QUERIES["note_shortest_path"](spark, folder).orderBy("step").collect()]
     links = near["fieldwork"]
     assert not path or (all(b in links[a] for a, b in zip(path, path[1:])) and len(path) == bfs(links, path[0])[path[-1]] + 1)
