@@ -37,6 +37,9 @@ def _finding(rows: DataFrame, rule: str, severity: str, message: Column, line: C
     )
 
 
+# The messages and suggestions of the built-in rules below are output values.
+
+
 def required_frontmatter(notes: DataFrame) -> DataFrame:
     keys = F.map_keys(F.coalesce("frontmatter", F.create_map().cast("map<string,string>")))
     rows = notes.select("vault", "path", F.explode(F.array_except(F.array(*[F.lit(x) for x in REQUIRED]), keys)).alias("f"))

@@ -88,6 +88,7 @@ def _typed(name: str, pattern: str, form: str, extra: str = "") -> str:
 
 
 _D, _P = "^daily/.*\\.md$", "projects/"
+# The rules' messages are output values, repeated in the SQL.
 ORACLES = {
     "validation_findings": _FINDINGS + "SELECT * FROM findings",
     "validation_rollup": _FINDINGS

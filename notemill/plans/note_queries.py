@@ -29,6 +29,7 @@ live AS (SELECT n.note_id AS ord, any_value(vault) AS vault, any_value(path) AS
   any_value(content) AS content, any_value(tags) AS tags, any_value(links) AS links FROM notes n JOIN cur c ON n.note_id = c.note_id AND n.rev = c.rev WHERE n.deleted_at IS NULL GROUP BY n.note_id),
 titled AS (SELECT *, CASE WHEN json_valid(frontmatter['title']) THEN json_extract_string(frontmatter['title'], '$') END AS title FROM live)
 """
+# The default patterns and replacements once more, as SQL literals.
 PLAIN = "content"
 for _p, _r in (
     (r"!\[[^\]]*\]\([^\)]+\)", ""), (r"\[[^\]]+\]\([^\)]+\)", "$1"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"),

@@ -154,11 +154,12 @@ ORACLES = {
     "text_search": LIVE + ", " + _text_sql(QUERY) + "SELECT vault, path, ord, content_hits, title_hits, tag_hits, score FROM scored ORDER BY score DESC, ord LIMIT 100",
     "text_search_case": LIVE + ", " + _text_sql("Garden Coffee", False) + "SELECT vault, path, ord, content_hits, title_hits, tag_hits, score FROM scored QUALIFY row_number() OVER (PARTITION BY vault ORDER BY score DESC, ord) <= 20",
     "text_matches": LIVE
-    + f""", src AS (SELECT ord, 'content' AS type, {PLAIN} AS x FROM live UNION ALL SELECT ord, 'title', title FROM titled WHERE title IS NOT NULL),
+    + rf""", src AS (SELECT ord, 'content' AS type, {PLAIN} AS x FROM live UNION ALL SELECT ord, 'title', title FROM titled WHERE title IS NOT NULL),
 q AS (SELECT ord, type, x, unnest({_TERMS!r}) AS text FROM src),
 parts AS (SELECT ord, type, x, text, string_split(lower(x), text) AS parts FROM q),
 spots AS (SELECT ord, type, x, text, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(text))) AS position FROM parts)
-SELECT ord, type, text, substr(x, CAST(greatest(0, position - 50) + 1 AS BIGINT), CAST(least(position, 50) + length(text) + 50 AS BIGINT)) AS context, CAST(position AS INTEGER) AS position FROM spots""",
+SELECT ord, type, text, substr(x, CAST(greatest(0, position - 50) + 1 AS BIGINT), CAST(least(position, 50) + length(text) + 50 AS BIGINT)) AS context, 
+  CAST(position + length(regexp_replace(substr(x, 1, CAST(position AS BIGINT)), '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS INTEGER) AS position FROM spots""",
     "find_notes": LIVE
     + f"SELECT vault, path, ord FROM titled WHERE contains(lower({PLAIN}), 'garden') OR coalesce(contains(lower(title), 'garden'), false) OR {_tag('garden')} > 0",
     "search_filtered": LIVE

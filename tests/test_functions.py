@@ -49,6 +49,8 @@ def test_hash_and_lengths(spark):
         assert one(spark, T.content_hash("s"), s=s) == want
     assert one(spark, T.estimated_tokens("s"), s="😀😀😀") == 2
     assert one(spark, T.truncated("s", 2), s="a" * 100) == "a" * 7
+    # 12 units, 3 tokens: floor(12 * 2 / 3 * 0.9) = 7 units, the fourth pair is cut in half
+    assert one(spark, T.truncated("s", 2), s="\U0001f600" * 6) == "\U0001f600" * 3 and one(spark, T.truncated("s", 2), s="") == ""
 
 
 def test_resolved_targets(spark):
@@ -71,6 +73,7 @@ def test_matches_and_hits(spark):
     found = one(spark, T.term_matches("c", "ab"), c="xABab" + "-" * 60)
     assert [(m["position"], len(m["context"])) for m in found] == [(1, 53), (3, 55)]
     assert one(spark, T.term_matches("c", ""), c="x") == []
+    assert [m["position"] for m in one(spark, T.term_matches("c", "ab"), c="\u0130\U0001f600ab ab")] == [3, 6]
     assert one(spark, T.hits("c", "aa"), c="aaaaa") == 2
 
 
