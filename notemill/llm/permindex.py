@@ -7,10 +7,16 @@ permutations (a pivot missing from one counts as the position after the last), a
 With the weight w = LISTED - position (0 if missing), the footrule of two permutations is LISTED * (LISTED + 1) minus twice
 the sum over pivots of min(w_a, w_b), so the ranking needs only that sum.
 
-Pivots are drawn from a bounded sample (``MAX_PIVOTS`` per space); every vector is indexed.  A space is a (model,
-dimension).  Copies of a vector beyond the ``k + 1`` of lowest id are left out of the index and get their neighbours, which
-are the copies of lowest id, by a join; so copies cannot flood an inverted file.  Files with more than ``BLOCK`` entries
-are cut into blocks and every pair of blocks is compared in its own task, so no entry is dropped.
+Pivots are drawn from a bounded sample and grow with the square root of a space's vectors, so a file's length does as well
+and the work of all files as N ** 1.5; every vector is indexed.  A space is a (model, dimension).  Copies of a vector beyond
+the ``k + 1`` of lowest id are left out of the index and get their neighbours, which are the copies of lowest id, by a join; so
+copies cannot flood an inverted file.  Files with more than ``BLOCK`` entries are cut into blocks and every pair of blocks is
+compared in its own task, so no entry is dropped.
+
+Postings carry their vectors as 16-bit integers with a scale.  Each cosine of such vectors comes with a bound of its error,
+and what may be among the k best within that error is kept until the exact cosines decide: a file loses nobody by rounding.
+What the index itself may miss, a partner that shares no pivot or ranks low in every file shared, :func:`nearest_to` with
+``share=1`` finds: it compares all queries with all rows, in blocks.
 """
 
 from __future__ import annotations
@@ -24,15 +30,18 @@ from pyspark.sql import functions as F
 
 from notemill.functions.keys import valid_vector
 from notemill.llm.streams import fixed_rows, groups
+from notemill.operators.skew import join_unique
 from notemill.session import cut
 
-#: Pivots per space: one for each ``PER_PIVOT`` vectors, within these bounds.
-MIN_PIVOTS, MAX_PIVOTS, PER_PIVOT = 32, 4096, 20
-#: Length of the permutations, and entries of a file that are reranked by cosine for each query.
-LISTED, RERANKED = 10, 96
+#: Pivots per space: so many times the square root of its vectors, within these bounds.
+MIN_PIVOTS, MAX_PIVOTS, PER_ROOT = 32, 1 << 17, 12
+#: Spaces that one index may hold: models and dimensions, each with a sample on the driver.
+MAX_SPACES = 1000
+#: Length of the permutations; of a file's entries, so many and this share are reranked by cosine for each query.
+LISTED, RERANKED, SHARE = 10, 96, 0.7
 BLOCK = 4096
-#: What half-precision rerank may lose.
-SLACK = 0.004
+#: Steps of a component of the shipped vectors to either side.
+STEPS = 32767
 
 
 def prepared(vectors: DataFrame, id_col: str, space_cols: list[str], vec_col: str, dim_col: str) -> DataFrame:
@@ -44,7 +53,7 @@ def prepared(vectors: DataFrame, id_col: str, space_cols: list[str], vec_col: st
     space = F.to_json(F.struct(*space_cols, dim_col))
     rows = ok.select(F.col(id_col).cast("bigint").alias("id"), space.alias("space"), F.col(vec_col).cast("array<float>").alias("vec"))
     rows = rows.groupBy("id").agg(F.max(F.struct("vec", "space")).alias("r")).select("id", "r.space", "r.vec")
-    return rows.withColumn("copy", F.struct(F.xxhash64("space", "vec"), F.hash("vec", "space")))
+    return rows.withColumn("copy", F.struct(F.xxhash64("space", "vec").alias("x"), F.hash("vec", "space").alias("y")))
 
 
 def _without_copies(rows: DataFrame, k: int) -> DataFrame:
@@ -55,20 +64,24 @@ def _without_copies(rows: DataFrame, k: int) -> DataFrame:
 
 def fit_pivots(rows: DataFrame) -> dict[str, np.ndarray]:
     """Unit pivots of each space, the vectors of lowest hash; at most ``MAX_PIVOTS`` per space go to the driver."""
-    sizes = {r["space"]: r["count"] for r in rows.groupBy("space").count().collect()}
-    want = {s: int(min(MAX_PIVOTS, max(MIN_PIVOTS, n // PER_PIVOT), n)) for s, n in sizes.items()}
+    sizes = {r["space"]: r["count"] for r in rows.groupBy("space").count().limit(MAX_SPACES + 1).collect()}
+    if len(sizes) > MAX_SPACES:
+        raise ValueError(f"more than {MAX_SPACES} models and dimensions")
+    want = {s: int(min(MAX_PIVOTS, max(MIN_PIVOTS, PER_ROOT * n**0.5), n)) for s, n in sizes.items()}
     spark = rows.sparkSession
     if not want:
         return {}
     # a hash threshold that lets about twice as many pass, then the lowest of each space
-    share = spark.createDataFrame([(s, min(1.0, 2.5 * want[s] / sizes[s] + 40 / sizes[s])) for s in want], "space string, share double")
+    share = spark.createDataFrame([(s, min(1.0, 2 * want[s] / sizes[s] + 40 / sizes[s])) for s in want], "space string, share double")
     dice = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2**31)) / F.lit(float(2**31))
-    some = rows.join(F.broadcast(share), "space").withColumn("dice", dice).where("dice < share").select("space", "dice", "id", "vec").collect()
+    some = rows.join(F.broadcast(share), "space").withColumn("dice", dice).where("dice < share").select("space", "dice", "id", "vec").toArrow().combine_chunks()
+    spaces, dice, ids = np.array(some.column("space").to_pylist(), object), some.column("dice").to_numpy(), some.column("id").to_numpy()
     out = {}
     for s, m in want.items():
-        own = sorted((r for r in some if r["space"] == s), key=lambda r: (r["dice"], r["id"]))[:m]
-        p = np.array([r["vec"] for r in own], np.float64)
-        out[s] = (p / np.linalg.norm(p, axis=1, keepdims=True)).astype(np.float32)
+        own = np.flatnonzero(spaces == s)
+        own = own[np.lexsort((ids[own], dice[own]))][:m]
+        vec = some.column("vec").take(pa.array(own))
+        out[s] = _unit(vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec)
     return out
 
 
@@ -88,11 +101,22 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray
     else:
         near = np.tile(np.arange(len(pivots)), (len(x), 1))
     order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
-    return np.take_along_axis(near, order, 1).astype(np.int16)
+    return np.take_along_axis(near, order, 1).astype(np.int32)
+
+
+def packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as 16-bit integers, and the length of one step for each."""
+    step = (np.abs(x).max(axis=1) / STEPS).astype(np.float32)
+    return np.rint(x / step[:, None]).clip(-STEPS, STEPS).astype(np.int16), step
+
+
+def unpacked(x: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors again, and how far a cosine may be off for each of two: half a step in every component, and rounding."""
+    return x.astype(np.float32) * step[:, None], (step * (x.shape[1] ** 0.5 / 2) + 2e-6).astype(np.float32)
 
 
 def permutations(rows: DataFrame, pivots: dict[str, np.ndarray], listed: int = LISTED) -> DataFrame:
-    """(id, space_ix, perm, half): truncated permutations (int16) and unit vectors (half precision) as binary."""
+    """(id, space_ix, perm, ints, step): truncated permutations (int32) and packed unit vectors as binary."""
     spaces = sorted(pivots)
     index = {s: i for i, s in enumerate(spaces)}
 
@@ -101,16 +125,18 @@ def permutations(rows: DataFrame, pivots: dict[str, np.ndarray], listed: int = L
             names = np.array(b.column(1).to_pylist(), object)
             for s in dict.fromkeys(names):
                 rows_at = np.flatnonzero(names == s)
-                for at in range(0, len(rows_at), 1024):
-                    ix = pa.array(rows_at[at : at + 1024])
+                size = max(16, min(1024, (1 << 24) // len(pivots[s])))
+                for at in range(0, len(rows_at), size):
+                    ix = pa.array(rows_at[at : at + size])
                     x = _unit(b.column(2).take(ix))
                     perm = nearest_pivots(x, pivots[s], listed)
+                    ints, step = packed(x)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(ix), pa.array(np.full(len(x), index[s], np.int32)), pa.array([p.tobytes() for p in perm], pa.binary()), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())],
-                        ["id", "space_ix", "perm", "half"],
+                        [b.column(0).take(ix), pa.array(np.full(len(x), index[s], np.int32)), pa.array([p.tobytes() for p in perm], pa.binary()), pa.array([v.tobytes() for v in ints], pa.binary()), pa.array(step)],
+                        ["id", "space_ix", "perm", "ints", "step"],
                     )
 
-    return rows.select("id", "space", "vec").mapInArrow(run, "id bigint, space_ix int, perm binary, half binary")
+    return rows.select("id", "space", "vec").mapInArrow(run, "id bigint, space_ix int, perm binary, ints binary, step float")
 
 
 def footrule_shared(perm: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -128,37 +154,54 @@ def footrule_shared(perm: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
-def _list_pairs(q: tuple, x: tuple, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Best k of ``x`` for each of ``q`` (ids, perms, vectors): footrule first, cosine over the best RERANKED."""
-    (qi, qp, qv), (xi, xp, xv) = q, x
+def _candidates(cos: np.ndarray, err: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where a cosine (of a query per row) may be among the k best and at least ``least``, its error being at most ``err``."""
+    low = cos - err
+    if k < cos.shape[1]:
+        least = np.maximum(np.partition(low, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None], least)
+    return np.nonzero((cos + err >= least) & (cos > -8))
+
+
+def _list_pairs(q: tuple, x: tuple, k: int, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, entry, cosine, error) of what may be the best k of ``x`` for each of ``q`` (ids, perms, vectors, errors):
+    footrule first, cosine over the best."""
+    (qi, qp, qv, qe), (xi, xp, xv, xe) = q, x
     step = max(1, 2_000_000 // max(1, len(xi)))
+    c = min(max(RERANKED, int(SHARE * len(xi))), len(xi))
     for at in range(0, len(qi), step):
-        near = footrule_shared(qp[at : at + step], xp).astype(np.int16)
-        near[qi[at : at + step, None] == xi[None, :]] = -1
-        c = min(RERANKED, len(xi))
-        cand = np.argpartition(-near, c - 1, axis=1)[:, :c] if c < len(xi) else np.tile(np.arange(len(xi)), (len(near), 1))
-        cos = np.empty(cand.shape, np.float32)
-        for s in range(0, len(cand), 256):
-            cos[s : s + 256] = np.einsum("qd,qcd->qc", qv[at + s : at + s + len(cand[s : s + 256])], xv[cand[s : s + 256]])
-        cos[np.take_along_axis(near, cand, 1) < 0] = -9
-        kk = min(k, c)
-        top = np.argpartition(-cos, kk - 1, axis=1)[:, :kk] if kk < c else np.tile(np.arange(c), (len(cos), 1))
-        val = np.take_along_axis(cos, top, 1)
-        r, j = np.nonzero(val >= max(least, -2))
-        yield qi[at + r], xi[np.take_along_axis(cand, top, 1)[r, j]], val[r, j]
+        rows = slice(at, at + step)
+        near = footrule_shared(qp[rows], xp).astype(np.int16)
+        near[qi[rows, None] == xi[None, :]] = -1
+        # a product of matrices beats gathering most of a file; what ranks below the cut does not count (ties with it do)
+        cos = qv[rows] @ xv.T
+        cos[(near < np.partition(near, len(xi) - c, axis=1)[:, len(xi) - c, None]) | (near < 0)] = -9
+        err = qe[rows, None] + xe[None, :]
+        r, j = _candidates(cos, err, k, least)
+        yield qi[rows][r], xi[j], cos[r, j], err[r, j]
+
+
+def _near_batch(a: np.ndarray, b: np.ndarray, near: np.ndarray, err: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near.astype(np.float32)), pa.array(err.astype(np.float32))], ["a", "b", "near", "err"])
+
+
+_NEAR = "a bigint, b bigint, near float, err float"
+
+
+def _members(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    vec, err = unpacked(fixed_rows(t.column("ints"), "int16"), t.column("step").to_numpy())
+    return t.column("side").to_numpy(), t.column("id").to_numpy(), fixed_rows(t.column("perm"), "int32"), vec, err
 
 
 def _search_lists(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, ["file", "i", "j"]):
-            side = t.column("side").to_numpy()
-            ids, perm, half = t.column("id").to_numpy(), fixed_rows(t.column("perm"), "int16"), fixed_rows(t.column("half"), "float16").astype(np.float32)
+            side, *cols = _members(t)
             # side: 1 a query, 2 an entry, 3 both
             q, x = (side & 1) > 0, (side & 2) > 0
             if not q.any() or not x.any():
                 continue
-            for a, b, c in _list_pairs((ids[q], perm[q], half[q]), (ids[x], perm[x], half[x]), k, least):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["a", "b", "near"])
+            for found in _list_pairs(tuple(c[q] for c in cols), tuple(c[x] for c in cols), k, least):
+                yield _near_batch(*found)
 
     return run
 
@@ -175,12 +218,39 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(ix), b.column(1).take(ix), pa.array(cos)], ["a", "b", "cos"])
 
 
+def _exact(near: DataFrame, kept: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, cos): the k best of each a among the candidates (a, b, near, err), by exact cosine, then by id."""
+    best = near.groupBy("a", "b").agg(F.max("near").alias("near"), F.max("err").alias("err"))
+    low = Window.partitionBy("a").orderBy(F.desc(F.col("near") - F.col("err")), "b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kth = F.nth_value(F.col("near") - F.col("err"), k).over(low)
+    best = cut(best.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("near") + F.col("err") >= F.col("kth"))).select("a", "b"), "permindex-near")
+    # one vector may be near to very many
+    vec = kept.select("id", "vec")
+    pairs = join_unique(best, vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), ["b"]).join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
+    exact = pairs.select("a", "b", "va", "vb").mapInArrow(_cosines, "a bigint, b bigint, cos double").where(F.col("cos") >= least)
+    w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    return exact.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("a", "b", "cos")
+
+
+def _of_copies(rows: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """(a, b, cos) of the copies left out of the index: their neighbours are the k copies of lowest id."""
+    few = _without_copies(rows.select("id", "copy"), k)
+    rest = rows.select("id", "copy")
+    rest = (rest if asked is None else rest.join(asked, "id", "left_semi")).join(few.select("id"), "id", "left_anti")
+    # k rows of each copy, as one list: a copy that a third of all rows are is a hot key of a unique table
+    lists = few.where(F.col("rank") <= k).groupBy("copy").agg(F.collect_list("id").alias("bs"))
+    rest = cut(rest.withColumns({"x": F.col("copy")["x"], "y": F.col("copy")["y"]}).drop("copy"), "permindex-copies")
+    lists = lists.select(F.col("copy")["x"].alias("x"), F.col("copy")["y"].alias("y"), "bs")
+    return join_unique(rest, lists, ["x", "y"]).select(F.col("id").alias("a"), F.explode("bs").alias("b"), F.lit(1.0).alias("cos"))
+
+
 def nearest(rows: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     """(a, b, cos): for every vector a of :func:`prepared` its k most similar others b with cosine >= least, best first by
     cosine, then by id.
 
     Approximate: a neighbour is found if it shares one of the ``LISTED`` nearest pivots with a and ranks within
-    ``RERANKED`` by footrule in such a file.  Copies are exact.  A space of one vector gives nothing.
+    ``RERANKED`` or ``SHARE`` of the entries by footrule in such a file; :func:`nearest_to` with ``share=1`` is exact.  Copies are
+    exact.  A space of one vector gives nothing.
     """
     rows = cut(rows, "permindex-vectors")
     kept = cut(_without_copies(rows, k).drop("rank"), "permindex-kept")
@@ -192,54 +262,34 @@ def nearest(rows: DataFrame, k: int, least: float = -2.0) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            perm = [np.frombuffer(x.as_py(), np.int16) for x in b.column(1)]
-            space = b.column(0).to_numpy()
-            files = [(p.astype(np.int64) + int(s) * MAX_PIVOTS) for p, s in zip(perm, space, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.list_(pa.int64())), *b.columns[2:], b.column(1)], ["files", "id", "half", "perm"])
-
-    posts = perms.select("space_ix", "perm", "id", "half").mapInArrow(listed, "files array<bigint>, id bigint, half binary, perm binary")
-    posts = posts.select(F.explode("files").alias("file"), "id", "perm", "half")
-    # as many files as pivots: a bounded number of counts
-    long = {r["file"]: -(-r["count"] // BLOCK) for r in posts.groupBy("file").count().where(F.col("count") > BLOCK).collect()}
-    if long:
-        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in long.items() for x in kv]), F.col("file")), F.lit(1)).cast("int")
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        posts = posts.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = F.explode(
-            F.when(F.col("own") == F.col("other"), F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j"), F.lit(3).alias("side")))).otherwise(
-                F.array(F.struct(F.col("own").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side")), F.struct(F.col("other").alias("i"), F.col("own").alias("j"), F.lit(2).alias("side")))
-            )
-        )
-        posts = posts.withColumn("c", cells).select("file", "c.i", "c.j", "c.side", "id", "perm", "half")
-    else:
-        posts = posts.select("file", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("side"), "id", "perm", "half")
-    near = posts.repartition("file", "i", "j").sortWithinPartitions("file", "i", "j").mapInArrow(_search_lists(k, least - SLACK), "a bigint, b bigint, near float")
-    # each a has at most k rows per file it is in; what one side found, the other may take as well
-    near = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "near").select("p.a", "p.b", "near")
-    best = near.groupBy("a", "b").agg(F.max("near").alias("near"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))).where(F.col("r") <= 2 * k).select("a", "b")
-    vec = kept.select("id", "vec")
-    pairs = best.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-    exact = pairs.select("a", "b", "va", "vb").mapInArrow(_cosines, "a bigint, b bigint, cos double").where(F.col("cos") >= least)
-    w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    top = exact.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("a", "b", "cos")
-    # the copies left out: their neighbours are the k copies of lowest id
-    few = _without_copies(rows.select("id", "copy"), k)
-    rest = rows.select("id", "copy").join(few.select("id"), "id", "left_anti")
-    copies = rest.join(few.where(F.col("rank") <= k).select(F.col("id").alias("b"), "copy"), "copy").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("cos"))
-    return top.unionByName(copies.where(F.lit(1.0) >= least))
+            files = [np.frombuffer(x.as_py(), np.int32).astype(np.int64) + int(s) * MAX_PIVOTS for x, s in zip(b.column(1), b.column(0).to_numpy(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.list_(pa.int64())), *b.columns[1:]], ["files", "perm", "id", "ints", "step"])
+
+    held = ["id", "perm", "ints", "step"]
+    posts = perms.select("space_ix", "perm", "id", "ints", "step").mapInArrow(listed, "files array<bigint>, perm binary, id bigint, ints binary, step float")
+    posts = posts.select(F.explode("files").alias("file"), *held)
+    # at most as many rows as pivots
+    long = cut(posts.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "permindex-long")
+    posts = posts.join(F.broadcast(long), "file", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    posts = posts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = lambda i, j, side: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"))
+    cells = F.explode(F.when(F.col("own") == F.col("other"), F.array(cell("own", "own", 3))).otherwise(F.array(cell("own", "other", 1), cell("other", "own", 2))))
+    posts = posts.withColumn("c", cells).select("file", "c.i", "c.j", "c.side", *held)
+    near = posts.repartition("file", "i", "j").sortWithinPartitions("file", "i", "j").mapInArrow(_search_lists(k, least), _NEAR)
+    top = _exact(near, kept, k, least)
+    return top.unionByName(_of_copies(rows, k).where(F.lit(1.0) >= least))
 
 
 #: Searches of a query set: pivots and length of the permutations, share of an index block that is reranked by cosine.
 SEARCH_PIVOTS, SEARCH_LISTED, SEARCH_SHARE = 256, 64, 0.1
-QUERY_BLOCK, INDEX_BLOCK = 2048, 8192
+QUERY_BLOCK, INDEX_BLOCK = 1 << 16, 8192
 
 
 def _search_blocks(k: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, ["space_ix", "i", "j"]):
-            side = t.column("side").to_numpy()
-            ids, perm, vec = t.column("id").to_numpy(), fixed_rows(t.column("perm"), "int16"), fixed_rows(t.column("half"), "float16").astype(np.float32)
+            side, ids, perm, vec, err = _members(t)
             q, x = side == 1, side == 2
             if not q.any() or not x.any():
                 continue
@@ -247,30 +297,35 @@ def _search_blocks(k: int, share: float):
             # the inverted files of this block: the weight of every entry by pivot
             files = np.zeros((SEARCH_PIVOTS, int(x.sum())), np.uint8)
             files[perm[x], np.arange(files.shape[1])[:, None]] = np.arange(listed, 0, -1, dtype=np.uint8)
-            qi, qp, qv, xi, xv = ids[q], perm[q], vec[q], ids[x], vec[x]
+            qi, qp, qv, qe, xi, xv, xe = ids[q], perm[q], vec[q], err[q], ids[x], vec[x], err[x]
             c = min(len(xi), max(RERANKED, -int(-share * len(xi) // 1)))
             for at in range(0, len(qi), 128):
                 p = qp[at : at + 128]
-                near = np.zeros((len(p), len(xi)), np.uint16)
-                for n in range(listed):
-                    near += np.minimum(files[p[:, n]], np.uint8(listed - n))
-                cand = np.argpartition(near, len(xi) - c, axis=1)[:, len(xi) - c :]
-                cos = np.einsum("qd,qcd->qc", qv[at : at + 128], xv[cand])
+                if c < len(xi):
+                    near = np.zeros((len(p), len(xi)), np.uint16)
+                    for n in range(listed):
+                        near += np.minimum(files[p[:, n]], np.uint8(listed - n))
+                    cand = np.argpartition(near, len(xi) - c, axis=1)[:, len(xi) - c :]
+                    cos = np.einsum("qd,qcd->qc", qv[at : at + 128], xv[cand])
+                else:
+                    cand = np.tile(np.arange(len(xi)), (len(p), 1))
+                    cos = qv[at : at + 128] @ xv.T
                 cos[xi[cand] == qi[at : at + 128, None]] = -9
-                kk = min(k, c)
-                top = np.argpartition(-cos, kk - 1, axis=1)[:, :kk]
-                val = np.take_along_axis(cos, top, 1)
-                r, n = np.nonzero(val > -8)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[at + r]), pa.array(xi[np.take_along_axis(cand, top, 1)[r, n]]), pa.array(val[r, n])], ["a", "b", "near"])
+                e = qe[at : at + 128, None] + xe[cand]
+                r, n = _candidates(cos, e, k, -2.0)
+                yield _near_batch(qi[at + r], xi[cand[r, n]], cos[r, n], e[r, n])
 
     return run
 
 
-def nearest_to(rows: DataFrame, queries: DataFrame, k: int, share: float = SEARCH_SHARE) -> DataFrame:
-    """(a, b, cos): for each query (id, a subset of the rows) its k most similar others among all rows of its space.
+def nearest_to(rows: DataFrame, queries: DataFrame, k: int, share: float = SEARCH_SHARE, least: float = -2.0) -> DataFrame:
+    """(a, b, cos): for each query (id, a subset of the rows) its k most similar others among all rows of its space, with
+    cosine >= least.
 
     Long permutations (``SEARCH_LISTED`` of ``SEARCH_PIVOTS`` pivots) rank every row by footrule, and ``share`` of each index
-    block is reranked, so that neighbours are found also where none is close.  Queries and rows meet in blocks.
+    block is reranked, so that neighbours are found also where none is close; with ``share=1`` the result is exact.  Queries and
+    rows meet in blocks, each block of the index having its own inverted files; the index is copied once for every
+    ``QUERY_BLOCK`` queries.
     """
     rows = cut(rows, "permindex-vectors")
     kept = cut(_without_copies(rows, k).drop("rank"), "permindex-kept")
@@ -279,7 +334,9 @@ def nearest_to(rows: DataFrame, queries: DataFrame, k: int, share: float = SEARC
     if not pivots:
         return spark.createDataFrame([], "a bigint, b bigint, cos double")
     perms = cut(permutations(kept, pivots, SEARCH_LISTED), "permindex-perms")
-    asked = perms.join(queries.select("id").distinct(), "id", "left_semi")
+    wanted_ids = queries.select("id").distinct()
+    asked = perms.join(wanted_ids, "id", "left_semi")
+    # one row for each space
     sizes = {r["space_ix"]: r["count"] for r in perms.groupBy("space_ix").count().collect()}
     wanted = {r["space_ix"]: r["count"] for r in asked.groupBy("space_ix").count().collect()}
 
@@ -290,15 +347,7 @@ def nearest_to(rows: DataFrame, queries: DataFrame, k: int, share: float = SEARC
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     q = asked.withColumn("i", own(nq, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), nx - 1))).withColumn("side", F.lit(1))
     x = perms.withColumn("j", own(nx, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), nq - 1))).withColumn("side", F.lit(2))
-    cells = q.unionByName(x).select("space_ix", "i", "j", "side", "id", "perm", "half")
-    near = cells.repartition("space_ix", "i", "j").sortWithinPartitions("space_ix", "i", "j").mapInArrow(_search_blocks(k, share), "a bigint, b bigint, near float")
-    w = Window.partitionBy("a").orderBy(F.desc("near"), "b")
-    best = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k).select("a", "b")
-    vec = kept.select("id", "vec")
-    pairs = best.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-    exact = pairs.select("a", "b", "va", "vb").mapInArrow(_cosines, "a bigint, b bigint, cos double")
-    w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    top = exact.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("a", "b", "cos")
-    few = _without_copies(rows.select("id", "copy"), k)
-    rest = rows.select("id", "copy").join(queries.select("id").distinct(), "id", "left_semi").join(few.select("id"), "id", "left_anti")
-    return top.unionByName(rest.join(few.where(F.col("rank") <= k).select(F.col("id").alias("b"), "copy"), "copy").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("cos")))
+    cells = q.unionByName(x).select("space_ix", "i", "j", "side", "id", "perm", "ints", "step")
+    near = cells.repartition("space_ix", "i", "j").sortWithinPartitions("space_ix", "i", "j").mapInArrow(_search_blocks(k, share), _NEAR)
+    top = _exact(near, kept, k, least)
+    return top.unionByName(_of_copies(rows, k, wanted_ids).where(F.lit(1.0) >= least))
