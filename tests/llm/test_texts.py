@@ -115,19 +115,91 @@ def test_winnowing_keeps_shared_windows():
 
 
 # ---- leaks ------------------------------------------------------------------------------------------------------------
+def edits_at(p, t):
+    """The least edits between p and a stretch of t that ends at each place."""
+    row, out = list(range(len(p) + 1)), []
+    for w in t:
+        prev, row = row, [0]
+        for i, x in enumerate(p):
+            row.append(min(prev[i] + (x != w), prev[i + 1] + 1, row[i] + 1))
+        out.append(row[-1])
+    return out
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(5)
     for _ in range(300):
-        p = [rng.randrange(4) for _ in range(rng.randrange(1, 90))]
-        t = [rng.randrange(4) for _ in range(rng.randrange(0, 120))]
-        row = list(range(len(p) + 1))
-        best = row[-1]
-        for w in t:
-            prev, row = row, [0]
-            for i, x in enumerate(p):
-                row.append(min(prev[i] + (x != w), prev[i + 1] + 1, row[i] + 1))
-            best = min(best, row[-1])
-        assert leaks.myers(p, t) == best
+        item = [rng.randrange(4) for _ in range(rng.randrange(1, 40))]
+        t = [rng.randrange(4) for _ in range(rng.randrange(0, 90))]
+        half = rng.randrange(1, len(item) + 1)
+        budget = rng.randrange(0, half)
+        starts = range(rng.randrange(0, len(item) - half + 1), len(item) - half + 1)
+        want = {i for s in starts for i, d in enumerate(edits_at(item[s : s + half], t)) if d <= budget}
+        assert leaks.Stretches(item, half, budget, starts).ends(t) == sorted(want)
+
+
+@pytest.mark.parametrize("errors", [0.15, 0.4])
+def test_pieces_and_runs_lose_no_stretch(monkeypatch, errors):
+    """What all stretches of all items find in whole documents, the matcher finds, at every length of items."""
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "kmptw" for b in ("abo", "eno", "ozo", "uto")]
+    items = [(n, [rng.choice(vocabulary) for _ in range(n)]) for n in range(1, 45)]
+    m = leaks.Matcher([(i, " ".join(ws)) for i, ws in items], errors)
+    for _ in range(6):
+        words = [rng.choice(vocabulary) for _ in range(30)]
+        for i, ws in rng.sample(items, 12):
+            at = rng.randrange(len(ws) // 2 + 1)
+            words += [w if rng.random() > errors else rng.choice([*vocabulary, "x"]) for w in ws[at : at + rng.randrange(len(ws) // 3, len(ws)) + 1]]
+        doc = leaks.folded(" ".join(words))
+        ids = leaks.np.array([m.vocabulary.get(w, 0) for w in doc])
+        got = {}
+        for length in m.runs:
+            for n, lo, hi in m._regions(ids, length):
+                got.setdefault(n, set()).update({lo + e for s in m._stretches(n) for e in s.ends(ids[lo:hi].tolist())})
+        for n in range(len(m.ids)):
+            half, budget, _ = m.size[n]
+            item = m.numbers[n].tolist()
+            want = {e for s in range(len(item) - half + 1) for e, d in enumerate(edits_at(item[s : s + half], ids.tolist())) if d <= budget}
+            assert want <= got.get(n, set()), (n, half, budget)
+
+
+@pytest.mark.parametrize("script", ["abcdefghijklmnoprstuvéäñ", "абвгдежзийклмнопрстуфхцчшыьэюя", "αβγδεζηθικλμνξοπρστυφχψωάέή", "ابتثجحخدذرزسشصضطظعغفقكلمن", "".join(map(chr, range(0x4E00, 0x5200)))])
+def test_recall_by_script_and_length(script):
+    rng = random.Random(4)
+    han = len(script) > 100
+    word = lambda: rng.choice(script) if han else "".join(rng.choice(script) for _ in range(rng.randrange(2, 9)))
+    vocabulary = [word() for _ in range(2000)]
+    some = lambda n: [vocabulary[int(2000 * rng.random() ** 2)] for _ in range(n)]
+    space = "" if han else " "
+    for low, high in ((5, 7), (8, 20), (21, 70)):
+        items = [(i, some(rng.randrange(low, high + 1))) for i in range(60)]
+        m = leaks.Matcher([(i, space.join(ws)) for i, ws in items])
+        good = 0
+        for i, ws in items:
+            # words misread, replaced, left out or put in
+            part = [{0: [w[:-1] + word()[0]], 1: some(1), 2: [], 3: [w, *some(1)]}[rng.randrange(4)] if rng.random() < 0.2 else [w] for w in ws]
+            words = some(60) + [x for ws in part for x in ws] + some(60)
+            text = "\n".join(f"{n}\n00:00:01,000 --> 00:00:02,000\n{space.join(words[n : n + 7])}\n" for n in range(0, len(words), 7))
+            good += i in {d for d, _ in m.found(leaks.speech(text))}
+        assert good >= 0.9 * len(items), (low, good)
+
+
+def test_folding():
+    assert leaks.folded("Größe café") == leaks.folded("GrÃ¶ÃŸe cafÃ©") == leaks.folded("Gr\u00f6\u00dfe cafe\u0301")
+    assert leaks.folded("Привет, МИР!") == leaks.folded("привет мир".encode().decode("latin-1")) == leaks.folded("Приве\u0301т мир") != []
+    assert len(leaks.folded("你好世界。")) == 4 and leaks.folded("ＡＢＣ") == leaks.folded("abc") and leaks.folded("♪ ™ «»") == []
+    assert leaks.folded("приzвет") == leaks.folded("привет") and leaks.folded("talkжing") == leaks.folded("talking")
+    assert leaks.speech("see more at some.example\nhello there.\n[x] mail me@some\nfine") == leaks.folded("hello there fine")
+
+
+def test_a_damaged_word_at_the_end_counts():
+    ws = [f"{a}{b}{c}" for a in "pqwt" for b in ("amo", "umo") for c in ("nat", "kor", "xul", "vez", "gam")]
+    m = leaks.Matcher([(1, " ".join(ws))])
+    half = ws[:20]
+    noise = ["zzz"] * 30
+    for damaged in ("tumogan", "tumogarn"):
+        assert [i for i, _ in m.found(leaks.folded(" ".join(noise + half[:-1] + [damaged] + noise)))] == [1]
+    assert m.found(leaks.folded(" ".join(noise + half[:14] + noise))) == []
 
 
 def subtitle(words, rng, damage=0.0, roll=False):
@@ -163,7 +235,7 @@ def test_planted_leaks_are_found_and_quotations_are_not(spark):
         if kind < 2:
             want.add((d, i))
     docs += [(100, None), (101, ""), (102, "x " * 100_000)]
-    rows = [(i, " ".join(w).capitalize() + ".") for i, w in items.items()] + [(50, None), (51, ""), (52, "too short"), (0, " ".join(items[0]).capitalize() + ".")]
+    rows = [(i, " ".join(w).capitalize() + ".") for i, w in items.items()] + [(50, None), (51, ""), (52, "♪ ..."), (0, " ".join(items[0]).capitalize() + ".")]
     got = leaks.leaks(spark.createDataFrame(docs, "doc bigint, words string"), spark.createDataFrame(rows, "item bigint, t string"), "doc", "words", "item", "t")
     assert {(r["doc"], r["item"]) for r in got.collect()} == want
     none = spark.createDataFrame([], "item bigint, t string")
