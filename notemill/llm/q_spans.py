@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notemill.llm.blocks import pairs_within
 from notemill.llm.spans import covered_chars, shared_spans
+from notemill.session import cut
 from notemill.sources.tables import table
 
 SPAN = 200
@@ -18,7 +20,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     of = members.select("id", "class").join(rep, "class").select("id", "rep")
     x, y = of.select(F.col("id").alias("x"), F.col("rep").alias("a")), of.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = pairs.join(x, "a").join(y, "b").select("x", "y")
-    within = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
+    within = pairs_within(cut(of, "spans-copies"), "rep", "id").select(F.col("a").alias("x"), F.col("b").alias("y"))
     both = across.unionByName(within)
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
@@ -43,5 +45,13 @@ ORACLES = {
 WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
 w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM d)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_shared": """
+WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM d), twice AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN twice USING (h)),
+s AS (SELECT doc_id, CAST(sum(least(200, i - coalesce(p, i - 200))) AS BIGINT) AS shared FROM c GROUP BY doc_id),
+same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_doc FROM documents WHERE length(text) >= 200)
+SELECT d.doc_id, coalesce(class_doc, d.doc_id) AS class_doc, coalesce(length(text), 0) AS chars, coalesce(shared, 0) AS shared_chars,
+  round(coalesce(CAST(shared AS DOUBLE) / nullif(length(text), 0), 0), 6) AS shared_part FROM documents d LEFT JOIN same USING (doc_id) LEFT JOIN s USING (doc_id)""",
 }
 QUERIES = {"p8_found": p8_found, "p8_shared": p8_shared}

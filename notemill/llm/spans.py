@@ -1,16 +1,19 @@
 """Long exact spans shared between records: a count-min prefilter over windows, then exact groups.
 
 Two texts with a common substring of at least ``span`` code points select, by winnowing, the same k-gram at the same place of
-it (k about span / 2).  Pass 1 counts the selected windows in count-min sketches, one per task, merged slice by slice;
-an estimate is never too low.  Pass 2 selects the windows again and ships, with their context, only those estimated
-to occur at least twice: all truly repeated ones are among them.  They are grouped exactly, and the common
-substring around the window is compared character by character.
-
-Copies of whole texts are collapsed before (the report names each copy); a window that very many texts share is
-handled by its whole spans (``HOT``), so that no list of a window is compared within one task.
-
-The sketch holds two bits per counter (seen once, seen twice), sized to the corpus up to ``MAX_WIDTH`` counters a row, which
-are 200 MB in a task and 100 MB broadcast; in a larger corpus it lets more single windows through, and loses none.
+it (k about span / 2).
+
+1. The selected windows (hash, id, place) are made once and written, packed by cell: a shard of the hashes and a salt of the id.
+2. Each cell is counted in a count-min sketch of its own; the sketches of a shard's cells are merged.  An estimate is never too
+   low, and a window that a third of all records hold is spread over its shard's cells.
+3. A second pass brings each cell's windows to the merged sketch of their shard and lets only those pass that are estimated to
+   occur at least twice: all truly repeated ones are among them.
+4. These fetch their surroundings from the texts and are grouped exactly; the common substring around the window is compared
+   character by character.
+
+Shards are as many as the corpus needs, so a sketch and a cell have the same size in a corpus of any size; nothing is sent to
+the driver or broadcast.  Copies of whole texts are collapsed before (the report names each copy); a window that very many texts
+share is handled by its whole spans (``HOT``), so that no list of a window is compared within one task.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.llm.blocks import pairs_within
 from notemill.llm.streams import groups
 from notemill.llm.winnow import batches_of, code_points, mixed, winnowed
 from notemill.session import cut
 
-DEPTH, SLICES = 3, 32
-MIN_WIDTH, MAX_WIDTH = 1 << 16, 1 << 28
+#: Rows of a sketch, counters in a row, windows that a shard should hold, and cells of a shard.
+DEPTH, WIDTH, PER_SHARD, SALTS = 3, 1 << 22, 1 << 21, 8
+#: Windows that a task packs at a time.
+PACK = 1 << 20
 #: Windows that more rows hold are grouped by whole spans instead of compared pair by pair.
 HOT = 1000
 #: Copies to be left out of the scans are broadcast up to this number of ids, else anti-joined by shuffle.
@@ -40,92 +46,147 @@ def _k(span: int) -> int:
     return span // 2 + 1
 
 
-def _cells(h: np.ndarray, width: int) -> list[np.ndarray]:
-    return [(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)) & np.uint64(width - 1)).astype(np.int64) for r in range(DEPTH)]
+def _counters(h: np.ndarray) -> list[np.ndarray]:
+    return [(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)) & np.uint64(WIDTH - 1)).astype(np.int64) for r in range(DEPTH)]
+
 
+class Sketch:
+    """A count-min sketch of two bits per counter: seen at least once, seen at least twice."""
 
-def _mark(once: np.ndarray, twice: np.ndarray, cells: np.ndarray) -> None:
-    """Count cells into two bitmaps: seen at least once, seen at least twice."""
-    at, n = np.unique(cells, return_counts=True)
-    byte, bit = at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
-    again = ((once[byte] & bit) > 0) | (n > 1)
-    np.bitwise_or.at(twice, byte[again], bit[again])
-    np.bitwise_or.at(once, byte, bit)
+    def __init__(self, data: bytes | None = None):
+        bits = np.zeros(2 * DEPTH * WIDTH // 8, np.uint8) if data is None else np.frombuffer(zlib.decompress(data), np.uint8).copy()
+        self.once, self.twice = bits.reshape(2, DEPTH, WIDTH // 8)
 
+    def add(self, h: np.ndarray) -> None:
+        for once, twice, counters in zip(self.once, self.twice, _counters(h), strict=True):
+            at, n = np.unique(counters, return_counts=True)
+            byte, bit = at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+            again = ((once[byte] & bit) > 0) | (n > 1)
+            np.bitwise_or.at(twice, byte[again], bit[again])
+            np.bitwise_or.at(once, byte, bit)
 
-def _both(once: np.ndarray, twice: np.ndarray) -> bytes:
-    return zlib.compress(once.tobytes() + twice.tobytes(), 1)
+    def merge(self, other: Sketch) -> None:
+        self.twice |= other.twice | (self.once & other.once)
+        self.once |= other.once
 
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        """Which windows are estimated to occur at least twice."""
+        out = np.ones(len(h), bool)
+        for twice, counters in zip(self.twice, _counters(h), strict=True):
+            out &= (twice[counters >> 3] >> (counters & 7).astype(np.uint8) & 1) > 0
+        return out
 
-def _halves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(zlib.decompress(data), np.uint8)
-    return x[: len(x) // 2], x[len(x) // 2 :]
+    def packed(self) -> bytes:
+        return zlib.compress(np.concatenate([self.once, self.twice]).tobytes(), 1)
 
 
-def _sketches(span: int, width: int):
+def _packed_windows(span: int, shards: int):
+    """(shard, salt, wins, ids, places): the selected windows, packed by cell."""
     k, w = _k(span), span - _k(span) + 1
 
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        shard = (h >> np.uint64(33)) % np.uint64(shards)
+        cell = shard.astype(np.int64) * SALTS + (mixed(ids.astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        h, ids, pos, cell = h[order], ids[order], pos[order], cell[order]
+        at = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
+        cuts = list(zip(at[:-1], at[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array((cell[at[:-1]] // SALTS).astype(np.int32)), pa.array((cell[at[:-1]] % SALTS).astype(np.int32)), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (h, ids, pos)]],
+            ["shard", "salt", "wins", "ids", "places"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros((DEPTH, width // 8), np.uint8), np.zeros((DEPTH, width // 8), np.uint8)
+        held, size = [], 0
         for b in batches:
-            for _, cp, starts in batches_of(b.column(1).to_pylist()):
-                h = winnowed(cp, starts, k, w)[2]
-                for r, cells in enumerate(_cells(h, width)):
-                    _mark(once[r], twice[r], cells)
-        for r in range(DEPTH):
-            for s, (a, c) in enumerate(zip(np.split(once[r], SLICES), np.split(twice[r], SLICES), strict=True)):
-                if a.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([r * SLICES + s], pa.int32()), pa.array([_both(a, c)], pa.binary())], ["slice", "data"])
+            every = b.column(0).to_numpy()
+            for which, cp, starts in batches_of(b.column(1).to_pylist()):
+                doc, at, h = winnowed(cp, starts, k, w)
+                if len(h):
+                    held.append((h, every[which][doc], (at - starts[doc]).astype(np.int32)))
+                    size += len(h)
+                if size >= PACK:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of each slice that all tasks together saw at least twice."""
-    for (s,), t in groups(batches, ["slice"]):
-        once = twice = None
-        for x in t.column("data"):
-            a, c = _halves(x.as_py())
-            twice = c if once is None else twice | c | (once & a)
-            once = a if once is None else once | a
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["slice", "data"])
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, sketch) of each cell in a stream sorted by cell; the windows pass by."""
+    now, sketch = None, None
+    for b in batches:
+        for shard, salt, wins in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (shard, salt) != now:
+                if now:
+                    yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([sketch.packed()], pa.binary())], ["shard", "sketch"])
+                now, sketch = (shard, salt), Sketch()
+            sketch.add(np.frombuffer(wins, np.uint64))
+    if now:
+        yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([sketch.packed()], pa.binary())], ["shard", "sketch"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sketch for each shard of a sorted stream, one part after the other."""
+    now, sketch = None, None
+    for b in batches:
+        for shard, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if shard != now:
+                if sketch:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([sketch.packed()], pa.binary())], ["shard", "sketch"])
+                now, sketch = shard, Sketch(data)
+            else:
+                sketch.merge(Sketch(data))
+    if sketch:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([sketch.packed()], pa.binary())], ["shard", "sketch"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(win, id, pos) of the windows estimated to occur twice; each cell's sketch comes before its windows."""
+    sketch = None
+    for b in batches:
+        for data, wins, ids, places in zip(*(b.column(c).to_pylist() for c in ("sketch", "wins", "ids", "places")), strict=True):
+            if data is not None:
+                sketch = Sketch(data)
+                continue
+            h = np.frombuffer(wins, np.uint64)
+            keep = sketch.repeated(h)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.frombuffer(ids, np.int64)[keep]), pa.array(np.frombuffer(places, np.int32)[keep])], ["win", "id", "pos"])
 
 
-def window_sketch(docs: DataFrame, span: int, width: int) -> np.ndarray:
-    """(DEPTH x width / 8) bytes: a bit for each counter of the merged sketch that is 2 or more, of the selected windows of
-    (id, text).  Its size is fixed by ``width``."""
-    parts = docs.select("id", "text").mapInArrow(_sketches(span, width), "slice int, data binary")
-    merged = parts.repartition(DEPTH * SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, data binary").collect()
-    out = np.zeros((DEPTH * SLICES, width // 8 // SLICES), np.uint8)
-    for r in merged:
-        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
-    return out.reshape(DEPTH, width // 8)
+def repeated_windows(docs: DataFrame, span: int, windows: int) -> DataFrame:
+    """(win, id, pos): the selected windows of (id, text) that may occur more than once; ``windows`` is about how many there are."""
+    shards = max(1, -(-windows // PER_SHARD))
+    packed = cut(docs.select("id", "text").mapInArrow(_packed_windows(span, shards), "shard int, salt int, wins binary, ids binary, places binary"), "spans-windows")
+    cells = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards * SALTS, 100_000))
+    parts = packed.select("shard", "salt", "wins").repartition(cells, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(_sketched, "shard int, sketch binary")
+    merged = cut(parts.repartition(min(cells, shards), "shard").sortWithinPartitions("shard").mapInArrow(_merged, "shard int, sketch binary"), "spans-sketches")
+    first = merged.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("k"), "sketch", *[F.lit(None).cast("binary").alias(c) for c in ("wins", "ids", "places")])
+    both = first.unionByName(packed.select("shard", "salt", F.lit(1).alias("k"), F.lit(None).cast("binary").alias("sketch"), "wins", "ids", "places"))
+    return both.repartition(cells, "shard", "salt").sortWithinPartitions("shard", "salt", "k").mapInArrow(_repeated, "win bigint, id bigint, pos int")
 
 
-def _repeated(span: int, width: int, sketch):
-    """Selected windows with an estimate of 2 or more: (win, id, pos, left, context)."""
-    k, w = _k(span), span - _k(span) + 1
+def _contexts(span: int):
+    """(win, id, pos, lead, context): windows with the text around them, from (id, text, at: [(win, pos)])."""
+    k = _k(span)
     side = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.frombuffer(zlib.decompress(sketch.value), np.uint8).reshape(DEPTH, width // 8)
         for b in batches:
-            texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for which, cp, starts in batches_of(texts):
-                doc, at, h = winnowed(cp, starts, k, w)
-                keep = np.ones(len(h), bool)
-                for r, cells in enumerate(_cells(h, width)):
-                    keep &= (many[r, cells >> 3] >> (cells & 7).astype(np.uint8) & 1) > 0
-                doc, at, h = doc[keep], at[keep], h[keep]
-                pos = at - starts[doc]
-                rows = [(which[d], int(p)) for d, p in zip(doc, pos, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)), pa.array([ids[d] for d, _ in rows], pa.int64()), pa.array(pos.astype(np.int32)),
-                        pa.array([min(p, side) for _, p in rows], pa.int32()), pa.array([texts[d][max(0, p - side) : p + k + side] for d, p in rows], pa.string()),
-                    ],
-                    ["win", "id", "pos", "lead", "context"],
-                )
+            wins, ids, places, context = [], [], [], []
+            for i, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for x in at:
+                    p = x["pos"]
+                    wins.append(x["win"])
+                    ids.append(i)
+                    places.append(p)
+                    context.append(text[max(0, p - side) : p + k + side])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(wins, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array([min(p, side) for p in places], pa.int32()), pa.array(context, pa.string())], ["win", "id", "pos", "lead", "context"]
+            )
 
     return run
 
@@ -214,19 +275,16 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int) -> tupl
     if not chars:
         return marks, none.select("a", "b"), none.select("a", "start", "end")
     windows = chars * 2 // (span - _k(span) + 2) + 1
-    width = min(MAX_WIDTH, max(MIN_WIDTH, 1 << (int(2 * windows) - 1).bit_length()))
     spare = marks.select("id").join(first.select("id"), "id", "left_anti")
     spare = F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare
     unique = rows.join(spare, "id", "left_anti")
-    sketch = window_sketch(unique, span, width)
-    shipped = spark.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
-    found = cut(unique.select("id", "text").mapInArrow(_repeated(span, width, shipped), "win bigint, id bigint, pos int, lead int, context string"), "spans-windows")
+    again = repeated_windows(unique, span, windows).groupBy("id").agg(F.collect_list(F.struct("win", "pos")).alias("at"))
+    found = cut(unique.join(again, "id").select("id", "text", "at").mapInArrow(_contexts(span), "win bigint, id bigint, pos int, lead int, context string"), "spans-found")
     hot = found.groupBy("win").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("win")
     cold = found.join(hot, "win", "left_anti").repartition("win").sortWithinPartitions("win", "id", "pos").mapInArrow(_compared(span), "a bigint, b bigint, start int, end int")
-    cold = cut(cold, "spans-found")
-    wide = found.join(hot, "win", "left_semi").select("id", "pos", "lead", "context").mapInArrow(_whole_spans(span), "digest binary, a bigint, start int").distinct()
-    x, y = wide.select("digest", "a"), wide.select("digest", F.col("a").alias("b"))
-    hot_pairs = x.join(y, (x["digest"] == y["digest"]) & (x["a"] < y["b"])).select("a", "b")
+    cold = cut(cold, "spans-pairs")
+    wide = cut(found.join(hot, "win", "left_semi").select("id", "pos", "lead", "context").mapInArrow(_whole_spans(span), "digest binary, a bigint, start int").distinct(), "spans-wide")
+    hot_pairs = pairs_within(wide.select("digest", "a").distinct(), "digest", "a")
     twice = wide.groupBy("digest").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("digest")
     hot_cover = wide.join(twice, "digest", "left_semi").select("a", "start", (F.col("start") + span).alias("end"))
     pairs = cold.where(F.col("b").isNotNull()).select("a", "b").unionByName(hot_pairs).distinct()
