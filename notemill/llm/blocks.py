@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.operators.skew import join_unique
+from notemill.session import cut
 
 #: Groups above this size are paired block by block.
 BLOCK = 2000
@@ -19,7 +20,9 @@ def in_cells(rows: DataFrame, keys: Sequence[str], item: str, size: int | None =
     A group up to ``size`` rows is one cell, (0, 0).  ``rows`` is read more than once: cut it before if it is costly.
     """
     size = size or BLOCK
-    long = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")).where("blocks > 1")
+    long = cut(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")).where("blocks > 1"), "long-groups")
+    if long.isEmpty():
+        return rows.withColumns({c: F.lit(0) for c in ("own", "i", "j")})
     rows = join_unique(rows, long, list(keys)).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(item, F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")

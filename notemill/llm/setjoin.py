@@ -21,6 +21,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.llm.blocks import in_cells, met, pairs_within
+from notemill.operators.skew import HOT_SHARE, join_unique
 from notemill.session import cut
 
 #: The levels considered, and the longest prefix (tokens) for which a level above 1 may post all combinations.
@@ -53,8 +55,12 @@ def _ordered(sets: DataFrame) -> DataFrame:
     """(class_id, n, toks, dfs): 64-bit token codes, rarest token first, with their document frequencies."""
     each = sets.select("class_id", F.explode(F.transform("tokens", lambda x: F.xxhash64(x))).alias("tok"))
     df = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # a hot token is at most one row of the frequency table; AQE splits the skewed side of this join
-    ranked = each.join(df, "tok").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+    df = cut(df, "setjoin-frequencies")
+    # a hot token is one that makes up a two-hundredth of all, so there are fewer than that; they are looked up first
+    total = df.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(df.where(F.col("df") * HOT_SHARE > total))
+    each = each.join(hot, "tok").unionByName(each.join(hot, "tok", "left_anti").join(df, "tok"))
+    ranked = each.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
     return ranked.select("class_id", F.size("o").alias("n"), F.col("o.tok").alias("toks"), F.col("o.df").alias("dfs"))
 
 
@@ -90,21 +96,22 @@ def choose_levels(ordered: DataFrame, t: float) -> dict[int, int]:
 
 
 def _postings(ordered: DataFrame, t: float, levels: dict[int, int]) -> DataFrame:
-    """(level, key, class_id, n, toks) for each combination a record posts."""
+    """(level, key, class_id, n) for each combination a record posts."""
     parts = []
     for level in sorted(set(levels.values())):
         # the sizes that meet a smaller partner of this level: m <= n <= m / t
         sizes = sorted(n for n in levels if any(levels[m] == level for m in levels if m <= n and m * 1_000_000 >= n * round(t * 1_000_000)))
         p = _prefix(F.col("n"), t, level)
-        pre = F.slice("toks", F.lit(1), p)
-        rows = ordered.where(F.col("n").isin(sizes)).withColumn("pre", pre)
+        # a token that one record alone has pairs nobody
+        pre = F.filter(F.slice("toks", F.lit(1), p), lambda x, i: F.get("dfs", i) > 1)
+        rows = ordered.where(F.col("n").isin(sizes)).withColumn("pre", pre).where(F.size("pre") >= level)
         if level == 1:
             keys = F.col("pre")
         else:
             rows = rows.withColumn("ix", F.sequence(F.lit(0), F.size("pre") - 1))
             keys = _combos(level)
         # as many shared tokens as the whole set has: the level cannot exceed what the prefix holds
-        parts.append(rows.where(F.size("pre") >= level).select(F.lit(level).alias("level"), F.explode(keys).alias("key"), "class_id", "n", "toks"))
+        parts.append(rows.select(F.lit(level).alias("level"), F.explode(keys).alias("key"), "class_id", "n"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -142,26 +149,30 @@ def similar_classes(sets: DataFrame, t: float) -> DataFrame:
     empty = "class_a binary, class_b binary, shared int, size_a int, size_b int"
     if not levels:
         return ordered.sparkSession.createDataFrame([], empty)
-    posts = _postings(ordered, t, levels)
-    # lists that may outgrow a task get blocks
-    long = posts.groupBy("level", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("level", "key", F.ceil(F.col("c") / BLOCK).cast("int").alias("k"))
-    posts = posts.join(long, ["level", "key"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    posts = posts.withColumn("own", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("k")).cast("int"))
-    posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    # the cell (i, j), i <= j, holds the pairs between blocks i and j
-    posts = posts.select("level", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "n", "toks")
+    # only numbers travel, no tokens
+    posts = cut(_postings(ordered, t, levels), "setjoin-postings")
+    cells = in_cells(posts, ["level", "key"], "class_id", BLOCK)
     small_level = F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])
-    a, b = posts.alias("a"), posts.alias("b")
+    a, b = cells.alias("a"), cells.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("level", "key", "i", "j")]
-    in_cell = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))
     size_ok = (F.col("a.n") * 1_000_000 >= F.col("b.n") * p) & (F.col("b.n") * 1_000_000 >= F.col("a.n") * p)
     at_level = F.element_at(small_level, F.least("a.n", "b.n")) == F.col("a.level")
-    pairs = a.join(b, [*on, F.col("a.class_id") < F.col("b.class_id"), in_cell, size_ok, at_level]).select(
-        F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"), F.col("a.n").alias("size_a"), F.col("b.n").alias("size_b"),
-        F.size(F.array_intersect("a.toks", "b.toks")).alias("shared"),
-    )
-    enough = F.col("shared").cast("bigint") * 1_000_000 >= (F.col("size_a") + F.col("size_b") - F.col("shared")).cast("bigint") * p
-    return pairs.where(enough).select("class_a", "class_b", "shared", "size_a", "size_b").distinct()
+    # a pair that meets under several combinations is one candidate
+    pairs = a.join(b, [*on, F.col("a.class_id") < F.col("b.class_id"), met("a", "b"), size_ok, at_level]).select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct()
+    # token codes are hashes, the tokens themselves decide
+    return _verified(cut(pairs, "setjoin-candidates"), sets.select("class_id", F.col("tokens").alias("set")), t)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(class_a, class_b, shared, size_a, size_b) of the pairs with similarity >= t; ``sets`` (class_id, set) is unique by class."""
+    p = round(t * 1_000_000)
+    for x in ("a", "b"):
+        # one class may be a partner of very many
+        pairs = join_unique(pairs, sets.select(F.col("class_id").alias(f"class_{x}"), F.col("set").alias(f"set_{x}")), [f"class_{x}"])
+        if x == "a":
+            pairs = cut(pairs, "setjoin-candidates")
+    sizes = pairs.select("class_a", "class_b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"))
+    return sizes.where(F.col("shared").cast("bigint") * 1_000_000 >= (F.col("size_a") + F.col("size_b") - F.col("shared")).cast("bigint") * p)
 
 
 def similar_pairs(records: DataFrame, id_col: str, set_col: str, threshold: float, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -172,20 +183,12 @@ def similar_pairs(records: DataFrame, id_col: str, set_col: str, threshold: floa
     An empty table gives empty results; repeated rows of an id count once when their sets agree.
     """
     rows = cut(classes(records, id_col, set_col, min_size), "setjoin-classes")
-    sets = rows.groupBy("class_id").agg(F.first("tokens").alias("tokens"))
-    found = similar_classes(sets, threshold)
-    # token codes are 64-bit hashes: an exact look at the few pairs found
-    a, b = sets.select(F.col("class_id").alias("class_a"), F.col("tokens").alias("ta")), sets.select(F.col("class_id").alias("class_b"), F.col("tokens").alias("tb"))
-    p = round(threshold * 1_000_000)
-    exact = found.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
-    exact = exact.withColumn("size_a", F.size("ta")).withColumn("size_b", F.size("tb"))
-    exact = exact.where(F.col("shared").cast("bigint") * 1_000_000 >= (F.col("size_a") + F.col("size_b") - F.col("shared")).cast("bigint") * p)
-    return rows.select("id", "class_id").distinct(), exact.select("class_a", "class_b", "shared", "size_a", "size_b")
+    sets = cut(rows.groupBy("class_id").agg(F.first("tokens").alias("tokens")), "setjoin-sets")
+    return rows.select("id", "class_id").distinct(), similar_classes(sets, threshold)
 
 
 def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of records, within classes and between similar ones."""
     x, y = members.select(F.col("id").alias("x"), F.col("class_id").alias("class_a")), members.select(F.col("id").alias("y"), F.col("class_id").alias("class_b"))
     across = pairs.select("class_a", "class_b").join(x, "class_a").join(y, "class_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    within = x.join(y, (F.col("class_a") == F.col("class_b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return across.unionByName(within)
+    return across.unionByName(pairs_within(cut(members, "setjoin-members"), "class_id", "id"))
