@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.operators.skew import join_unique
 from notemill.session import cut
 
 #: Codes per sorted run in a task (8 bytes each).
@@ -31,20 +32,17 @@ BROADCAST_ITEMS = 200_000
 def dictionary(items: DataFrame, item: str = "item") -> DataFrame:
     """(item, num, n) with num dense from 0 in code-point order, for a table of (item, n) unique by item.
 
-    The table is range-partitioned and written once; the driver learns one row count per partition.
+    The table is range-partitioned and written once; one row count per partition is summed up and broadcast.
     """
     sorted_ = cut(items.repartitionByRange(item).sortWithinPartitions(item).withColumn("_part", F.spark_partition_id()), "cooccur-items")
-    starts = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("c")).collect()
-    base, total = {}, 0
-    for r in sorted(starts, key=lambda r: r["_part"]):
-        base[r["_part"]], total = total, total + r["c"]
+    sums = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("c"))
+    total = sums.agg(F.sum("c")).first()[0] or 0
     if total >= 2**31:
         raise ValueError("more than 2^31 items")
-    offset = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map(F.lit(0), F.lit(0))
-    from pyspark.sql import Window
-
+    # one row for each partition
+    before = F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(item)) - 1
-    return sorted_.withColumn("num", (F.element_at(offset, F.col("_part")) + local).cast("bigint")).drop("_part")
+    return sorted_.join(F.broadcast(sums.select("_part", before.alias("_start"))), "_part").withColumn("num", (F.col("_start") + local).cast("bigint")).drop("_part", "_start")
 
 
 def _codes(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> Iterator[np.ndarray]:
@@ -121,9 +119,11 @@ def cooccurrence(records: DataFrame, id_col: str, items_col: str, min_count: int
     nums = items.select("item", "num")
     # with min_share the dictionary has at most min_share * (items per record) entries, whatever the input's size
     small = items.count() <= BROADCAST_ITEMS
-    keyed = each.join(F.broadcast(nums) if small else nums.hint("merge"), "item")
+    # a large dictionary meets an item that very many records hold by broadcast, the others by shuffle
+    keyed = each.join(F.broadcast(nums), "item") if small else join_unique(each, nums, ["item"]).where("num IS NOT NULL")
     lists = keyed.groupBy("_id").agg(F.array_sort(F.collect_list("num")).alias("nums")).where(F.size("nums") > 1).select("nums")
-    runs = lists.mapInArrow(_runs, "code bigint, n bigint")
+    # written, for the range partitioning reads them twice
+    runs = cut(lists.mapInArrow(_runs, "code bigint, n bigint"), "cooccur-runs")
     pairs = runs.repartitionByRange("code").sortWithinPartitions("code").mapInArrow(_merged, "code bigint, n bigint").where(F.col("n") >= least)
     pairs = pairs.select(F.shiftright("code", 32).alias("a"), F.col("code").bitwiseAND(F.lit(2**32 - 1)).alias("b"), F.col("n").alias("n_ab"))
 
@@ -131,7 +131,10 @@ def cooccurrence(records: DataFrame, id_col: str, items_col: str, min_count: int
         d = items.select(F.col("num").alias(x), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}"))
         return F.broadcast(d) if small else d
 
-    out = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("total", F.lit(total).cast("bigint"))
+    if not small:
+        pairs = cut(pairs, "cooccur-pairs")
+    both = pairs.join(side("a"), "a").join(side("b"), "b") if small else join_unique(cut(join_unique(pairs, side("a"), ["a"]), "cooccur-pairs"), side("b"), ["b"])
+    out = both.withColumn("total", F.lit(total).cast("bigint"))
     ab, a, b, t = (F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "total"))
     lift = ab * t / (a * b)
     odds = ((ab + 0.5) * (t - a - b + ab + 0.5)) / ((a - ab + 0.5) * (b - ab + 0.5))

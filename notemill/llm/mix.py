@@ -10,7 +10,7 @@
    cumulative demand; inverting it at the middle of a copy's stretch gives the copy's time.
 5. Copies are range-sorted by time; a second running total gives the token at which each starts.
 
-Running totals are made per range partition, with one sum per partition on the driver, so a source that holds a third
+Running totals are made per range partition, with one sum per partition broadcast, so a source that holds a third
 of all rows is spread like any other.
 """
 
@@ -114,16 +114,15 @@ def inverse_time(part: Column, schedule: Sequence[tuple[float, float]]) -> Colum
 def running_total(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` over all rows before, in the order of ``order`` (unique).
 
-    Rows are range-partitioned and written once; each partition's sum (one number per partition) goes to the driver.
+    Rows are range-partitioned and written once; each partition's sum (one number per partition) is broadcast.
     """
     parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-order")
-    sums = {r["_part"]: r["s"] for r in parts.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
-    base, seen = {}, 0
-    for k in sorted(sums):
-        base[k], seen = seen, seen + sums[k]
+    # one row for each partition
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("s"))
+    starts = sums.select("_part", F.coalesce(F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in (base or {0: 0}).items() for x in kv]), F.col("_part"))
-    return parts.withColumn(name, (start + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("bigint")).drop("_part")
+    out = parts.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("bigint"))
+    return out.drop("_part", "_start")
 
 
 def mixed(counts: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", tilt: float = 0.5, schedules: Mapping[str, Sequence[tuple[float, float]]] | None = None) -> tuple[DataFrame, DataFrame]:
