@@ -17,6 +17,7 @@ of all rows is spread like any other.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -30,14 +31,17 @@ from notemill.session import cut
 def token_counts(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str], vocabulary: str, pattern: str) -> DataFrame:
     """(id, *keep, tokens): tokens of each text by the byte-pair ranks in the file ``vocabulary``.
 
-    The file has a base64 token and its rank on each line and must be readable on all executors.  A null text has 0 tokens.
+    The file has a base64 token and its rank on each line; it is sent to the executors.  A null text has 0 tokens.
     """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:

@@ -71,4 +71,12 @@ found AS (SELECT s.set_field, note_a, note_b FROM shared s JOIN sizes x ON x.set
   WHERE s * 10 >= 6 * (x.n + y.n - s))
 """
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
-ORACLES = {"p1_found": _SETS + _PAIRS + "SELECT set_field, note_a, note_b FROM found"}
+_CLASSES = """keyed AS (SELECT set_field, note_id, list_sort(list(item)) AS s FROM items GROUP BY 1, 2 HAVING count(*) >= 4),
+cls AS (SELECT set_field, s, min(note_id) AS class_note, count(*) AS members FROM keyed GROUP BY 1, 2),
+each AS (SELECT set_field, class_note, len(s) AS n, unnest(s) AS item FROM cls),
+met AS (SELECT a.set_field, a.class_note AS x, b.class_note AS y, count(*) AS c, any_value(a.n) AS p, any_value(b.n) AS q FROM each a JOIN each b ON a.set_field = b.set_field AND a.item = b.item AND a.class_note < b.class_note GROUP BY 1, 2, 3),
+ends AS (SELECT set_field, x AS class_note FROM met WHERE c * 10 >= 6 * (p + q - c) UNION ALL SELECT set_field, y FROM met WHERE c * 10 >= 6 * (p + q - c)),
+linked AS (SELECT set_field, class_note, count(*) AS links FROM ends GROUP BY 1, 2)
+SELECT k.set_field, k.note_id, c.class_note, members, coalesce(links, 0) AS links FROM keyed k JOIN cls c ON k.set_field = c.set_field AND k.s = c.s
+LEFT JOIN linked l ON l.set_field = c.set_field AND l.class_note = c.class_note"""
+ORACLES = {"p1_classes": _SETS + _CLASSES, "p1_found": _SETS + _PAIRS + "SELECT set_field, note_a, note_b FROM found"}

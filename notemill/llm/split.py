@@ -78,7 +78,7 @@ def cut_text(text: str, unit: str, limit: int, overlap: int) -> list[tuple[int,
         end = _last(kinds, half, last) or _last([every], first, last)
         if not end:
             end = last
-            while first < end < n and end > last - 32 and unicodedata.combining(text[end]):
+            while first < end < n and unicodedata.combining(text[end]):
                 end -= 1
             if end < n and unicodedata.combining(text[end]):
                 end = last
