@@ -70,15 +70,15 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, adj: DataFrame) -> DataFrame
     return out.withColumn("density", F.coalesce(F.try_divide(F.col("edges").cast("double"), F.col("nodes") * (F.col("nodes") - 1) / 2), F.lit(0.0)))
 
 
-def components(nodes: DataFrame, adj: DataFrame, most: int = 50) -> DataFrame:
+def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """(scope, id, component): weakly connected components, named by their least id.
 
     Alternating large and small stars: every round hangs all greater neighbours, then all smaller ones, under the
-    least; the number of rounds grows with the logarithm of the longest path.  Rounds end when the edges stop changing.
+    least; the number of rounds grows with the logarithm of the longest path.  Rounds go on until the edges stop changing.
     """
     e = cut(adj.where("a > b").select("scope", F.col("a").alias("u"), F.col("b").alias("v")), "components")
     mark = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select("scope", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("scope", "u").agg(F.min("v").alias("m")).select("scope", "u", F.least("u", "m").alias("m"))
         large = join_unique(both, low, ["scope", "u"]).where("v > u").select("scope", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

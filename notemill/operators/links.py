@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from notemill.functions.text import resolved_target, slash_path
 from notemill.operators.contain import contained
 from notemill.operators.skew import join_unique
-from notemill.session import cut
+from notemill.session import cut, static_plans
 
 
 def link_edges(notes: DataFrame, style: str = "as_coded") -> DataFrame:
@@ -159,12 +159,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     links = links.repartition(n, "vault", "node").persist()
     base = base.repartition(n, "vault", "node").persist()
     ranks = base.withColumn("rank", F.lit(1.0) / F.col("n"))
-    for i in range(1, iterations + 1):
-        given = ranks.join(links, ["vault", "node"]).groupBy("vault", F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        rank = (1 - damping) / F.col("n") + damping * F.coalesce(F.col("got"), F.lit(0.0))
-        ranks = base.join(given, ["vault", "node"], "left").select("vault", "node", "n", rank.alias("rank"))
-        if i % 5 == 0 or i == iterations:
-            ranks = cut(ranks, "pagerank")
+    with static_plans(spark):
+        for i in range(1, iterations + 1):
+            given = ranks.join(links, ["vault", "node"]).groupBy("vault", F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
+            rank = (1 - damping) / F.col("n") + damping * F.coalesce(F.col("got"), F.lit(0.0))
+            ranks = base.join(given, ["vault", "node"], "left").select("vault", "node", "n", rank.alias("rank"))
+            if i % 5 == 0 or i == iterations:
+                ranks = cut(ranks, "pagerank")
     links.unpersist()
     base.unpersist()
     return ranks.select("vault", "node", "rank")

@@ -10,13 +10,13 @@ def current_rows(notes: DataFrame, fields: dict[str, Column], key: str = "note_i
     """One row per key with ``fields`` taken from its row of highest revision.
 
     Rows of the highest revision agree, so any of them will do.  A null key is no note and is left out; a null
-    revision counts as the lowest.  The fields are computed before the shuffle, so only they travel; the partial
-    aggregation drops stale rows on the map side.
+    revision counts as the lowest.  The fields are computed before the shuffle and aggregated one by one, so only those travel
+    that are used later, and the scan reads no more; the partial aggregation drops stale rows on the map side.
     """
     order = F.coalesce(F.col(rev).cast("bigint"), F.lit(-(2**63)))
-    best = notes.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), order.alias("_rev"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("_row"))
-    out = best.groupBy("_key").agg(F.max_by("_row", "_rev").alias("_row"))
-    return out.select(F.col("_key").alias(key), *[F.col("_row")[n].alias(n) for n in fields])
+    rows = notes.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), order.alias("_rev"), *[c.alias(n) for n, c in fields.items()])
+    out = rows.groupBy("_key").agg(*[F.max_by(n, "_rev").alias(n) for n in fields])
+    return out.withColumnRenamed("_key", key)
 
 
 def live_notes(notes: DataFrame, fields: dict[str, Column], key: str = "note_id", rev: str = "rev", deleted_at: str = "deleted_at") -> DataFrame:

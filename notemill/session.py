@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +31,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only where it is unset (tests, a laptop) a folder is made, and the
-    setting is filled with it, so that every later call agrees.
+    The setting is read from the session.  Only where it is unset and the master is local (tests, a laptop) a folder is made,
+    removed at the end of the process, and the setting is filled with it, so that every later call agrees.  On a cluster without
+    the setting this is an error: executors would write to disks of their own.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="notemill-shared-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="notemill-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+@contextmanager
+def static_plans(spark: SparkSession) -> Iterator[None]:
+    """Within it plans are not replanned at run time: for loops over tables that keep one partitioning, where replanning
+    would merge partitions and so add a shuffle to every round.  Holds for what is run within, as :func:`cut` does."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
