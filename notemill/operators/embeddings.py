@@ -31,7 +31,7 @@ class HashProvider:
         out = np.zeros((len(texts), self.dimension), np.float32)
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:16], 16)
                 out[i, h % self.dimension] += 1 if h >> 63 else -1
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length == 0, 1, length)

@@ -48,8 +48,11 @@ def change_coalesce(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk's vector by what can be told exactly of it: how many places are above and below 0, and which, as a sum."""
     v = embedded(base(spark, folder), HashProvider(64))
-    return v.select("vault", "path", "chunk_ix", "model", F.size("embedding").alias("dimension"))
+    total = F.aggregate(F.transform("embedding", lambda x, i: F.signum(x).cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    n = lambda keep: F.size(F.filter("embedding", keep))
+    return v.select("vault", "path", "chunk_ix", "model", F.size("embedding").alias("dimension"), n(lambda x: x > 0).alias("above"), n(lambda x: x < 0).alias("below"), total.alias("places"))
 
 
 QUERIES = {f.__name__: f for f in (validation_findings, validation_rollup, missing_fields, template_match, template_errors, change_coalesce, chunk_embeddings)}
@@ -89,7 +92,17 @@ def _typed(name: str, pattern: str, form: str, extra: str = "") -> str:
 
 _D, _P = "^daily/.*\\.md$", "projects/"
 # The rules' messages are output values, repeated in the SQL.
+_EMBEDDED = """
+WITH cur AS (SELECT note_id, max(rev) AS rev FROM notes GROUP BY note_id),
+live AS (SELECT n.note_id, any_value(vault) AS vault, any_value(path) AS path, any_value(chunks) AS chunks FROM notes n JOIN cur c ON n.note_id = c.note_id AND n.rev = c.rev WHERE n.deleted_at IS NULL GROUP BY n.note_id),
+each AS (SELECT note_id, vault, path, unnest(chunks) AS chunk, unnest(range(len(chunks))) AS ix FROM live),
+words AS (SELECT note_id, ix, md5(unnest(list_filter(regexp_split_to_array(lower(chunk), '\\s+'), lambda w: w <> ''))) AS h FROM each),
+slots AS (SELECT note_id, ix, CAST(('0x' || substr(h, 1, 16))::UBIGINT % 64 AS INTEGER) AS slot, sum(CASE WHEN substr(h, 1, 1) >= '8' THEN 1 ELSE -1 END) AS v FROM words GROUP BY 1, 2, 3),
+sums AS (SELECT note_id, ix, count(*) FILTER (v > 0) AS above, count(*) FILTER (v < 0) AS below, sum(CAST(sign(v) AS BIGINT) * (slot + 1)) AS places FROM slots GROUP BY 1, 2)
+SELECT vault, path, CAST(e.ix AS INTEGER) AS chunk_ix, 'hash-64' AS model, 64 AS dimension, CAST(coalesce(above, 0) AS INTEGER) AS above, CAST(coalesce(below, 0) AS INTEGER) AS below, CAST(coalesce(places, 0) AS BIGINT) AS places
+FROM each e LEFT JOIN sums s ON s.note_id = e.note_id AND s.ix = e.ix"""
 ORACLES = {
+    "chunk_embeddings": _EMBEDDED,
     "validation_findings": _FINDINGS + "SELECT * FROM findings",
     "validation_rollup": _FINDINGS
     + """SELECT l.vault, l.path, count(*) FILTER (severity = 'error') = 0 AS valid, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings

@@ -243,7 +243,17 @@ _VECTORS = "vec AS (SELECT DISTINCT ON (vec_id) vec_id, note_id FROM chunk_vecto
 _STATS = """link_stats AS (SELECT d.vault, count(*) AS nodes, count(*) FILTER (is_real) AS real_nodes, CAST(sum(outgoing) AS BIGINT) AS links, count(*) FILTER (incoming = 0) AS orphans,
   coalesce(any_value(b.c), 0) AS broken FROM degree d LEFT JOIN (SELECT vault, count(*) AS c FROM broken GROUP BY 1) b ON b.vault = d.vault GROUP BY d.vault)"""
 _FM_TAGS = "CASE WHEN json_valid(frontmatter['tags']) AND json_type(frontmatter['tags']) = 'ARRAY' THEN list_transform(json_extract_string(frontmatter['tags'], '$[*]'), lambda t: regexp_replace(t, '^#', '')) ELSE []::VARCHAR[] END"
+#: Plain texts without headings: paragraphs one after the other, a new chunk where the next one would exceed 1000 units.
+_CHUNKED = (
+    LIVE.replace("WITH cur", "WITH RECURSIVE cur")
+    + f""", parts AS (SELECT ord, list_filter(regexp_split_to_array({PLAIN}, '\\n\\s*\\n'), lambda p: p <> '') AS ps FROM live),
+para AS MATERIALIZED (SELECT ord, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM parts), sized AS MATERIALIZED (SELECT *, length(p) + length(regexp_replace(p, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS n FROM para),
+packed AS (SELECT ord, i, p, 0 AS chunk_ix, n AS held FROM sized WHERE i = 0
+  UNION ALL SELECT s.ord, s.i, s.p, CASE WHEN held + n > 1000 THEN chunk_ix + 1 ELSE chunk_ix END, CASE WHEN held + n > 1000 THEN n ELSE held + 2 + n END FROM packed k JOIN sized s ON s.ord = k.ord AND s.i = k.i + 1)
+SELECT ord, chunk_ix, regexp_replace(string_agg(p, chr(10) || chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS chunk FROM packed GROUP BY 1, 2"""
+)
 ORACLES = {
+    "chunk_texts": _CHUNKED,
     "links_extract": LIVE
     + r""", lines AS (SELECT ord, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) + 1 AS n FROM live),
 found AS (
