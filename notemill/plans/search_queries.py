@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import vectors as V
+from notemill.functions.keys import valid_vector
 from notemill.functions.text import plain_text
 from notemill.operators import links as L
 from notemill.operators import search as S
+from notemill.operators.embeddings import best_chunks
 from notemill.operators.notes import substring_search
 from notemill.operators.tags import note_tags
 from notemill.plans.note_queries import EDGES, LIVE, NOTE_TAGS, ORACLES as _NOTE_SQL, PLAIN, base
@@ -20,6 +22,10 @@ _BULK = ["garden", "coffee market", "zzz"]
 _FILTERS = S.Filters(tags=["inbox"], paths=["daily/", "^notes/"], start="2024-03-01", end="2025-12-31")
 
 
+#: Whose vectors, and how near a note's vector must be to the query's to make it a candidate.
+_MODEL, _NEAR = "mini-64", 0.3
+
+
 def _plain():
     return plain_text("content")
 
@@ -61,6 +67,17 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     return S.search(notes, QUERY, _plain(), _ranks(notes), NOW, limit=20).select("vault", "path", "ord", F.round("score", 6).alias("score"))
 
 
+def hybrid_search_semantic(spark: SparkSession, folder: str) -> DataFrame:
+    """hybrid_search with vectors: the first valid vector of one model stands for the query's, its near notes are candidates too."""
+    notes = base(spark, folder)
+    v = table(spark, folder, "chunk_vectors").where((F.col("model") == _MODEL) & valid_vector("vec", "dimension") & (F.col("dimension") == 64)).dropDuplicates(["vec_id"])
+    q = v.orderBy("vec_id").select("vec").first()["vec"]
+    of = notes.select("vault", "path", "ord").join(v.select(F.col("note_id").alias("ord"), F.col("vec").alias("embedding")), "ord")
+    near = best_chunks(of, q).where(F.col("score") >= _NEAR)
+    out = S.search(notes, QUERY, _plain(), _ranks(notes), NOW, semantic=near, limit=20)
+    return out.select("vault", "path", "ord", F.round("semantic", 5).alias("semantic"), F.round("score", 5).alias("score"))
+
+
 def bulk_search(spark: SparkSession, folder: str) -> DataFrame:
     """The text part of the search of several queries."""
     return S.bulk_text_search(base(spark, folder), _BULK, _plain(), 10).select("query", "vault", "path", "ord", F.round("score", 6).alias("score"))
@@ -100,7 +117,7 @@ def embedding_normalized(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_search, text_search_case, text_matches, find_notes, search_filtered, relevance_parts, hybrid_search, bulk_search, bulk_search_hybrid, semantic_search, most_similar, embedding_check, embedding_normalized)
+    for f in (text_search, text_search_case, text_matches, find_notes, search_filtered, relevance_parts, hybrid_search, hybrid_search_semantic, bulk_search, bulk_search_hybrid, semantic_search, most_similar, embedding_check, embedding_normalized)
 }
 
 
@@ -173,6 +190,17 @@ WHERE (regexp_matches(l.path, 'daily/', 'i') OR regexp_matches(l.path, '^notes/'
     + ", "
     + _text_sql(QUERY)
     + ", keep AS (SELECT vault, path FROM scored ORDER BY score DESC, ord LIMIT 100) SELECT f.vault, f.path, f.ord, round(f.score, 6) AS score FROM full_score f JOIN keep k ON k.vault = f.vault AND k.path = f.path ORDER BY f.score DESC, f.ord LIMIT 20",
+    "hybrid_search_semantic": _FULL
+    + ", "
+    + _text_sql(QUERY)
+    + f""", keep0 AS (SELECT vault, path FROM scored ORDER BY score DESC, ord LIMIT 100),
+vec AS (SELECT DISTINCT ON (vec_id) vec_id, note_id, CAST(vec AS DOUBLE[]) AS v FROM chunk_vectors WHERE model = '{_MODEL}' AND dimension = 64 AND vec IS NOT NULL AND len(vec) = 64
+  AND NOT list_contains(list_transform(vec, lambda x: isnan(x)), true) AND list_max(list_transform(vec, lambda x: abs(x))) > 0),
+q AS (SELECT v AS q FROM vec ORDER BY vec_id LIMIT 1),
+near AS (SELECT l.vault, l.path, max(list_cosine_similarity(v, q)) AS s FROM vec JOIN live l ON l.ord = vec.note_id, q GROUP BY 1, 2 HAVING s >= {_NEAR}),
+keep AS (SELECT * FROM keep0 UNION SELECT vault, path FROM near),
+final AS (SELECT f.vault, f.path, f.ord, coalesce(n.s, 0) AS semantic, coalesce(n.s, 0) * 0.4::DOUBLE + f.score AS score FROM full_score f JOIN keep k ON k.vault = f.vault AND k.path = f.path LEFT JOIN near n ON n.vault = f.vault AND n.path = f.path)
+SELECT vault, path, ord, round(semantic, 5) AS semantic, round(score, 5) AS score FROM final ORDER BY final.score DESC, ord LIMIT 20""",
     "bulk_search": _bulk_sql(),
     "bulk_search_hybrid": _bulk_hybrid_sql(),
     "semantic_search": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
