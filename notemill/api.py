@@ -13,13 +13,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.functions.text import plain_text
+from notemill.functions.text import plain_text, safe_filename, slash_path, with_md
 from notemill.operators import graph as A
 from notemill.operators import links as L
 from notemill.operators import listing, search, tags, templates, validation
-from notemill.operators.embeddings import Provider, best_chunks, embedded
+from notemill.operators.embeddings import Provider, best_chunks, embedded, new_vectors
 from notemill.operators.notes import index_stats
-from notemill.session import cut
+from notemill.session import cut, drop_cuts
 from notemill.sources import vault as V
 
 
@@ -29,6 +29,9 @@ class NoteEngine:
     def __init__(self, spark: SparkSession, vaults: Mapping[str, str], templates: Sequence[templates.Template] = (), rules: Sequence[validation.Rule] = (), provider: Provider | None = None, chunk_size: int = 1000):
         if not vaults:
             raise ValueError("at least one vault is needed")
+        self.default_vault = next(iter(vaults))
+        self.max_results, self.threshold, self.weights = 20, 0.0, search.Weights()
+        self._known: DataFrame | None = None
         self.spark, self.vaults, self.templates, self.rules, self.provider, self.chunk_size = spark, dict(vaults), list(templates), list(rules), provider, chunk_size
         self.reindex_vault()
 
@@ -50,6 +53,37 @@ class NoteEngine:
         self._ranks: DataFrame | None = None
         self._vectors: DataFrame | None = None
 
+    def add_vault(self, name: str, root: str, default: bool = False) -> None:
+        """Take up a further vault; a name in use is refused."""
+        if name in self.vaults:
+            raise ValueError(f"vault {name} exists")
+        self.vaults[name] = root
+        self.default_vault = name if default else self.default_vault
+        self._set(self.notes.unionByName(V.read_vault(self.spark, root, name, self.chunk_size)))
+
+    def remove_vault(self, name: str) -> None:
+        """Forget a vault; its files stay.  The last one cannot go."""
+        self._root(name)
+        if len(self.vaults) == 1:
+            raise ValueError("at least one vault is needed")
+        del self.vaults[name]
+        self.default_vault = self.default_vault if name != self.default_vault else next(iter(self.vaults))
+        self._set(self.notes.where(F.col("vault") != name))
+
+    def close(self) -> None:
+        """Drop the index and the tables behind it."""
+        drop_cuts()
+
+    def configure(self, max_results: int | None = None, threshold: float | None = None, weights: search.Weights | None = None) -> None:
+        """Change the defaults of searches; ranks are made anew."""
+        self.max_results = self.max_results if max_results is None else max_results
+        self.threshold = self.threshold if threshold is None else threshold
+        self.weights = weights or self.weights
+        self._ranks = None
+
+    def search_stats(self) -> dict[str, Any]:
+        return {"max_results": self.max_results, "threshold": self.threshold, "weights": self.weights, "ranks_kept": self._ranks is not None}
+
     def update(self, vault: str) -> None:
         """Take up what changed in a vault's folder."""
         own = V.update_index(self.notes.where(F.col("vault") == vault), self.spark, self.vaults[vault], vault, self.chunk_size)
@@ -65,7 +99,10 @@ class NoteEngine:
         if self.provider is None:
             raise ValueError("no embedding provider")
         if self._vectors is None:
-            self._vectors = cut(embedded(self.notes, self.provider), "index-vectors")
+            fresh = cut(new_vectors(self.notes, self.provider, known=self._known), "index-new-vectors")
+            # what was embedded before, for any state of the notes, is not embedded again
+            self._known = fresh if self._known is None else self._known.unionByName(fresh)
+            self._vectors = cut(embedded(self.notes, self.provider, known=self._known), "index-vectors")
         return self._vectors
 
     def _in(self, vault: str | None, rows: DataFrame | None = None) -> DataFrame:
@@ -73,7 +110,7 @@ class NoteEngine:
         return rows if vault is None else rows.where(F.col("vault") == vault)
 
     def _root(self, vault: str | None) -> tuple[str, str]:
-        name = vault or next(iter(self.vaults))
+        name = vault or self.default_vault
         if name not in self.vaults:
             raise KeyError(f"unknown vault {name}")
         return name, self.vaults[name]
@@ -82,8 +119,10 @@ class NoteEngine:
     def _semantic(self, query: str) -> DataFrame | None:
         return best_chunks(self.vectors(), self.provider.embed([query])[0].tolist()) if self.provider and query.strip() else None
 
-    def search_content(self, query: str, vault: str | None = None, filters: search.Filters | None = None, limit: int = 20, threshold: float = 0.0, now: datetime | None = None) -> DataFrame:
-        return search.search(self._in(vault), query, plain_text("content"), self.ranks(), now or datetime.now(timezone.utc).replace(tzinfo=None), filters, self.note_tags, self._semantic(query), limit, threshold)
+    def search_content(self, query: str, vault: str | None = None, filters: search.Filters | None = None, limit: int | None = None, threshold: float | None = None, now: datetime | None = None) -> DataFrame:
+        now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+        limit, threshold = self.max_results if limit is None else limit, self.threshold if threshold is None else threshold
+        return search.search(self._in(vault), query, plain_text("content"), self.ranks(), now, filters, self.note_tags, self._semantic(query), limit, threshold, weights=self.weights)
 
     def semantic_search(self, query: str, vault: str | None = None, limit: int = 10, threshold: float = 0.7) -> DataFrame:
         best = best_chunks(self._in(vault, self.vectors()), self.provider.embed([query])[0].tolist())
@@ -95,12 +134,14 @@ class NoteEngine:
     def bulk_search(self, queries: Sequence[str], vault: str | None = None, limit: int = 10, combine: bool = False, threshold: float = 0.0, now: datetime | None = None) -> DataFrame:
         now = now or datetime.now(timezone.utc).replace(tzinfo=None)
         semantic = {q: self._semantic(q) for q in queries}
-        return search.bulk_search(self._in(vault), queries, plain_text("content"), self.ranks(), now, semantic, limit, combine, threshold)
+        return search.bulk_search(self._in(vault), queries, plain_text("content"), self.ranks(), now, semantic, limit, combine, threshold, self.weights)
 
     # ---- files -------------------------------------------------------------------------------------------------------
-    def read_file(self, path: str, vault: str | None = None) -> DataFrame:
+    def read_file(self, path: str, vault: str | None = None, metadata: bool = True) -> DataFrame:
+        """The note's row; without ``metadata`` its path, content and frontmatter alone."""
         name, _ = self._root(vault)
-        return self._in(name).where(F.col("path") == path)
+        rows = self._in(name).where(F.col("path") == path)
+        return rows if metadata else rows.select("path", "content", "frontmatter")
 
     def get_file_metadata(self, path: str, vault: str | None = None) -> DataFrame:
         return listing.file_metadata(self.read_file(path, vault))
@@ -126,12 +167,13 @@ class NoteEngine:
         values = old | new | dict(frontmatter or {}) | {"modified": datetime.now(timezone.utc).isoformat()}
         return self.write_file(path, V.markdown_text(values, body), vault)
 
-    def create_file(self, path: str, content: str = "", frontmatter: Mapping[str, Any] | None = None, vault: str | None = None) -> list[str]:
-        import re
-
-        name = re.sub(r"\A_|_\Z", "", re.sub("_+", "_", re.sub(r"\s+", "_", re.sub(r'[<>:"/\\|?*]', "_", path))))
-        name = name if name.endswith(".md") else name + ".md"
-        template = templates.template_for(path, self.templates)
+    def create_file(self, path: str, content: str = "", frontmatter: Mapping[str, Any] | None = None, vault: str | None = None, template: str | None = None) -> list[str]:
+        """The name is made safe; ``template`` is the pattern of one to use in place of the one that fits the path."""
+        name = self.spark.range(1).select(with_md(safe_filename(F.lit(path)))).first()[0]
+        chosen = next((t for t in self.templates if t.pattern == template), None)
+        if template is not None and chosen is None:
+            raise KeyError(f"no template has the pattern {template}")
+        template = chosen or templates.template_for(path, self.templates)
         front, body = V.split_text(content)
         text = V.markdown_text(front | dict(frontmatter or {}), body)
         return self.write_file(name, templates.applied(template, text, datetime.now(timezone.utc)) if template else text, vault)
@@ -155,8 +197,17 @@ class NoteEngine:
     def suggest_tags(self, existing: Sequence[str] = (), vault: str | None = None, limit: int = 10) -> DataFrame:
         return tags.suggested_tags(self._in(vault, self.note_tags), existing, limit)
 
-    def get_backlinks(self, path: str, vault: str | None = None) -> DataFrame:
-        return L.backlinks(self._in(vault, self.edges), path)
+    def get_tag(self, tag: str, vault: str | None = None) -> DataFrame:
+        return tags.tag_record(self._in(vault, self.note_tags), tag)
+
+    def get_backlinks(self, path: str, vault: str | None = None, include_content: bool = False) -> DataFrame:
+        """With ``include_content`` also title, first 200 characters and tags of the notes at the other ends, where there are any."""
+        found = L.backlinks(self._in(vault, self.edges), path)
+        if not include_content:
+            return found
+        title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("path")).alias("title")
+        ends = self._in(vault).select("vault", slash_path("path").alias("other"), title, F.substring("content", 1, 200).alias("excerpt"), F.col("tags").alias("other_tags"))
+        return found.join(ends, ["vault", "other"], "left").withColumn("title", F.coalesce("title", "other"))
 
     def find_related(self, path: str, vault: str | None = None, hops: int = 2) -> DataFrame:
         name, _ = self._root(vault)
@@ -180,7 +231,26 @@ class NoteEngine:
         at = F.format_string("%020d-%d-%010d", F.col("ord.ord"), F.col("ord.k"), F.col("ord.pos"))
         return nodes.select(F.col("vault").alias("scope"), "id", at.alias("ord")), A.adjacency(edges), edges.withColumnRenamed("vault", "scope")
 
-    def get_graph_stats(self, vault: str | None = None) -> DataFrame:
+    def get_graph_stats(self, vault: str | None = None, include_metrics: bool = False) -> DataFrame:
+        """Link, note and tag counts with the five greatest hubs and authorities; with metrics also the five of greatest PageRank,
+        the communities' modularity, components, bridges and cut vertices."""
+        edges, nodes = self._in(vault, self.edges), self._in(vault, self.nodes)
+        degree = L.degrees(nodes, edges)
+        count = tags.tag_stats(self._in(vault, self.note_tags)).groupBy("vault").agg(F.count(F.lit(1)).alias("tags"))
+        out = L.link_stats(edges, degree, L.broken_links(edges, nodes)).join(L.top_linked(degree), "vault", "left").join(count, "vault", "left")
+        out = out.join(index_stats(self._in(vault)), "vault", "left").withColumn("tags", F.coalesce("tags", F.lit(0).cast("bigint")))
+        if not include_metrics:
+            return out
+        n, adj, e = self._analyzer(vault)
+        com = cut(A.communities(n, adj), "index-communities")
+        cuts = A.bridges_and_articulation(n, adj).groupBy("scope").agg(F.count(F.when(F.col("kind") == "bridge", 1)).alias("bridges"), F.count(F.when(F.col("kind") == "articulation", 1)).alias("cut_vertices"))
+        top = A.influential(self._in(vault, self.ranks()).select(F.col("vault").alias("scope"), F.col("node").alias("id"), "rank").withColumnRenamed("rank", "pagerank"), "pagerank", 5)
+        top = top.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("top_pagerank"))
+        for more in (A.graph_stats(n, e, adj).select("scope", "density", "components"), A.modularity(adj, com), com.groupBy("scope").agg(F.count_distinct("community").alias("communities")), cuts, top):
+            out = out.join(more.withColumnRenamed("scope", "vault"), "vault", "left")
+        return out
+
+    def _link_stats(self, vault: str | None) -> DataFrame:
         edges, nodes = self._in(vault, self.edges), self._in(vault, self.nodes)
         return L.link_stats(edges, L.degrees(nodes, edges), L.broken_links(edges, nodes))
 
@@ -236,6 +306,21 @@ class NoteEngine:
         t = templates.template_for(path, self.templates)
         return templates.created(self.templates, t.pattern, values or {}, datetime.now(timezone.utc)) if t else None
 
+    # ---- rules -------------------------------------------------------------------------------------------------------
+    def rules_for(self, path: str) -> list[validation.Rule]:
+        """The rules whose pattern fits a path; one that is no regex fits none."""
+        return [r for r in self.rules if validation.fits(r.pattern, path)]
+
+    def add_rule(self, rule: validation.Rule) -> None:
+        """A rule of the same name is replaced."""
+        self.remove_rule(rule.name)
+        self.rules.append(rule)
+
+    def remove_rule(self, name: str) -> bool:
+        kept = [r for r in self.rules if r.name != name]
+        gone, self.rules = len(kept) < len(self.rules), kept
+        return gone
+
     # ---- validation, bulk, health ------------------------------------------------------------------------------------
     def validate_file(self, path: str, vault: str | None = None, rules: Sequence[str] | None = None) -> DataFrame:
         found = validation.findings(self.read_file(path, vault), self.rules)
@@ -258,4 +343,4 @@ class NoteEngine:
     def analyze_vault_health(self, vault: str | None = None) -> DataFrame:
         rows = self._in(vault)
         vectors = self._in(vault, self.vectors()) if self.provider else self.spark.createDataFrame([], "vault string, path string")
-        return listing.vault_health(rows, self.get_graph_stats(vault), tags.tag_stats(self._in(vault, self.note_tags)), index_stats(rows, vectors))
+        return listing.vault_health(rows, self._link_stats(vault), tags.tag_stats(self._in(vault, self.note_tags)), index_stats(rows, vectors))

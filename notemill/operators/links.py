@@ -90,6 +90,12 @@ def link_stats(edges: DataFrame, degree: DataFrame, broken: DataFrame) -> DataFr
     return a.join(b, "vault", "left").withColumn("broken", F.coalesce("broken", F.lit(0).cast("bigint")))
 
 
+def top_linked(degree: DataFrame, limit: int = 5) -> DataFrame:
+    """(vault, hubs, authorities): the nodes of most outgoing and most incoming links, as arrays of (node, n)."""
+    each = lambda by, name: ranked(degree, by, limit).groupBy("vault").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node", "n"))), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"))).alias(name))
+    return each("outgoing", "hubs").join(each("incoming", "authorities"), "vault")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(vault, a, b): each link in both directions, once."""
     e = edges.select("vault", F.col("src").alias("a"), F.col("target").alias("b"))

@@ -21,6 +21,17 @@ def tag_stats(tags: DataFrame) -> DataFrame:
     return out.withColumn("depth", F.size(F.split("tag", "/", -1)))
 
 
+def tag_record(tags: DataFrame, tag: str) -> DataFrame:
+    """(vault, tag, file_count, first_seen, last_seen, depth, together, ancestors): one tag, with how often each other tag of its
+    vault stands beside it; no row where no note has it."""
+    name = F.lit(tag).alias("raw")
+    one = tags.join(F.broadcast(tags.sparkSession.range(1).select(normal_tag(name).alias("tag"))), "tag", "left_semi")
+    beside = tags.join(one.select("vault", "path", F.col("tag").alias("own")), ["vault", "path"]).where("tag <> own")
+    counts = beside.groupBy("vault", "tag").agg(F.count(F.lit(1)).alias("n")).groupBy("vault").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("together"))
+    none = F.create_map().cast("map<string,bigint>")
+    return tag_stats(one).join(counts, "vault", "left").withColumns({"together": F.coalesce("together", none), "ancestors": ancestors("tag")})
+
+
 def cooccurrences(tags: DataFrame) -> DataFrame:
     """(vault, tag, other, n): in how many notes each ordered pair of different tags meets.
 

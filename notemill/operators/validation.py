@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import runpy
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,12 +24,23 @@ class Rule:
     """A rule, for paths that match ``pattern`` (letter case aside).
 
     ``check`` takes a dict of one note (path, content, frontmatter, tags) and yields dicts with any of severity, message, line,
-    suggestion, fix.  Without it the rule is the built-in of that name.
+    suggestion, fix.  ``script`` is a Python file that defines such a ``check``; it is read when the rule is used.  Without either, or
+    if the script fails to load, the rule is the built-in of that name.
     """
 
     name: str
     pattern: str = ".*"
     check: Callable[[dict], Iterator[dict]] | None = None
+    script: str | None = None
+
+    def checker(self) -> Callable[[dict], Iterator[dict]] | None:
+        """``check``, or the one that the script defines; None where the script cannot be loaded or defines none."""
+        if self.check is not None or self.script is None:
+            return self.check
+        try:
+            return runpy.run_path(self.script).get("check")
+        except Exception:  # whatever the script does: the built-in of that name is used
+            return None
 
 
 def _finding(rows: DataFrame, rule: str, severity: str, message: Column, line: Column | None = None, suggestion: Column | None = None) -> DataFrame:
@@ -76,14 +89,14 @@ def content_length(notes: DataFrame) -> DataFrame:
 BUILT_IN = {"required-frontmatter": required_frontmatter, "valid-links": valid_links, "tag-format": tag_format, "heading-structure": heading_structure, "content-length": content_length}
 
 
-def _custom(notes: DataFrame, rule: Rule) -> DataFrame:
+def _custom(notes: DataFrame, rule: Rule, check: Callable[[dict], Iterator[dict]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FINDING.split(", ")]
         for pdf in batches:
             out = []
             for n in pdf.to_dict("records"):
                 try:
-                    found = list(rule.check(n) or [])
+                    found = list(check(n) or [])
                 except Exception as e:  # a failing rule is a finding of its note
                     found = [{"severity": "error", "message": f"Rule execution failed: {e}"}]
                 for x in found:
@@ -95,10 +108,16 @@ def _custom(notes: DataFrame, rule: Rule) -> DataFrame:
     return notes.select("vault", "path", "content", "frontmatter", "tags").mapInPandas(run, FINDING)
 
 
+def fits(pattern: str, path: str) -> bool:
+    """Whether a rule's pattern is a regex that is found in a path, letter case aside."""
+    try:
+        return re.search(pattern, path, re.I) is not None
+    except re.error:
+        return False
+
+
 def findings(notes: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All findings of the rules that apply to each note's path.  A rule of unknown name warns; a bad pattern skips it."""
-    import re
-
     out = None
     for rule in rules:
         try:
@@ -106,8 +125,9 @@ def findings(notes: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         except re.error:
             continue
         rows = notes if rule.pattern == ".*" else notes.where(F.col("path").rlike(f"(?iu){rule.pattern}"))
-        if rule.check is not None:
-            found = _custom(rows, rule)
+        check = rule.checker()
+        if check is not None:
+            found = _custom(rows, rule, check)
         elif rule.name in BUILT_IN:
             found = BUILT_IN[rule.name](rows)
         else:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notemill.plans import check_queries, graph_queries, note_queries, orphan_queries, search_queries
+from notemill.plans import check_queries, graph_queries, note_queries, orphan_queries, search_queries, vault_queries
 
-_MODULES = (note_queries, search_queries, graph_queries, check_queries, orphan_queries)
+_MODULES = (note_queries, search_queries, graph_queries, check_queries, orphan_queries, vault_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -73,6 +73,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder of the shared one removed together with the tables of :func:`cut`."""
+    _CUTS.append((spark, path))
+
+
 def drop_cuts() -> None:
     """Remove every table that :func:`cut` has written in this process."""
     while _CUTS:

@@ -5,9 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
-from datetime import datetime, timezone
-from urllib.parse import unquote
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +14,7 @@ from pyspark.sql.types import MapType, StringType
 
 from notemill.functions import text as T
 from notemill.operators.notes import changed_paths
+from notemill.session import cut
 
 #: Files in folders of these names, and in folders or under names that start with a dot, are not notes.
 SKIPPED = r"(\A|/)(\.[^/]*|node_modules)(/|\z)"
@@ -39,25 +38,48 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 def listing(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, size, mtime) of all files below ``root``, relative, without skipped folders; file contents are not read."""
-    files = _files(spark, root)
-    rows = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return _relative(rows.unionByName(_empty_files(files)), root, pattern)
+    return _relative(_tree(spark, root), root, pattern)
+
 
+def file_info(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
+    """(path, present, size, mtime) of the paths asked for; what is not there has size 0 and the first moment of 1970."""
+    asked = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = listing(spark, root).withColumn("present", F.lit(True))
+    return asked.join(found, "path", "left").select("path", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("size", F.lit(0).cast("bigint")).alias("size"), F.coalesce("mtime", F.timestamp_seconds(F.lit(0))).alias("mtime"))
 
-def _empty_files(files: DataFrame) -> DataFrame:
-    """(path, size, mtime) of the files of no bytes, which Spark's reader passes over.
 
-    Spark's own file index on the driver holds all paths already; only the empty files are looked at again.
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime) of all files below ``root``, with their full paths.
+
+    Folders are listed by tasks, one level after the other; the driver learns only whether a further level exists.
     """
-    spark = files.sparkSession
-    known = spark.createDataFrame([(re.sub(r"\Afile:/+", "file:/", unquote(x)),) for x in files.inputFiles()], "path string")
-    missed = known.join(files.select(F.regexp_replace("path", r"\Afile:/+", "file:/").alias("path")), "path", "left_anti").collect()
-    rows = []
-    for r in missed:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r["path"])
-        status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
-        rows.append((r["path"], 0, datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc)))
-    return spark.createDataFrame(rows, "path string, size bigint, mtime timestamp")
+    start = root if "://" in root or root.startswith("file:") else os.path.abspath(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for f in frames:
+            for folder in f["path"]:
+                files, at = fs.FileSystem.from_uri(folder)
+                base = folder[: -len(at)] if folder.endswith(at) else ""
+                rows = [(base + x.path, x.size or 0, x.mtime, x.type == fs.FileType.Directory) for x in files.get_file_info(fs.FileSelector(at, allow_not_found=True))]
+                yield pd.DataFrame(rows, columns=["path", "size", "mtime", "folder"]).astype({"size": "int64", "folder": bool})
+
+    schema = "path string, size bigint, mtime timestamp, folder boolean"
+    level, out = spark.createDataFrame([(start,)], "path string"), None
+    while True:
+        found = cut(level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, schema), "vault-level")
+        out = found if out is None else out.unionByName(found)
+        # folders that hold no notes are not entered
+        level = found.where(F.col("folder") & ~F.substring("path", F.lit(len(start) + 1), F.length("path")).rlike(SKIPPED)).select("path")
+        if level.isEmpty():
+            # whole milliseconds, as Spark's own reader gives them
+            return out.where("NOT folder").select("path", "size", F.date_trunc("millisecond", "mtime").alias("mtime"))
+
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime) of the files of no bytes, which Spark's reader passes over."""
+    return _tree(spark, root).where("size = 0")
 
 
 def _relative(files: DataFrame, root: str, pattern: str | None) -> DataFrame:
@@ -71,7 +93,7 @@ def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime, text) of the markdown files below ``root``."""
     files = _files(spark, root)
     rows = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("text"))
-    rows = rows.unionByName(_empty_files(files).withColumn("text", F.lit("")))
+    rows = rows.unionByName(_empty_files(spark, root).withColumn("text", F.lit("")))
     return _relative(rows, root, None).where(T.is_markdown("path"))
 
 
@@ -155,6 +177,29 @@ def write_file(root: str, path: str, text: str) -> None:
         f.write(text)
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write (path, text) below ``root``, a folder that all executors share, one file per row, by the tasks; a null text removes
+    the file.  Folders are made as needed; a task that runs again writes the same files again."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root)
+        for f in frames:
+            for path, text in zip(f["path"], f["text"], strict=True):
+                at = f"{base}/{path}"
+                if text is None:
+                    if files.get_file_info(at).type != fs.FileType.NotFound:
+                        files.delete_file(at)
+                    continue
+                files.create_dir(at.rsplit("/", 1)[0])
+                with files.open_output_stream(at) as out:
+                    out.write(text.encode("utf-8"))
+            yield f[["path"]].iloc[:0]
+
+    rows.where(~F.col("path").rlike(r"(\A|/)\.\.(/|\z)")).select("path", "text").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def read_file(root: str, path: str) -> str:
     with open(safe_path(root, path), encoding="utf-8") as f:
         return f.read()

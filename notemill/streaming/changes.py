@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from notemill.operators.skew import join_unique
+from notemill.sources.store import Versions
 
 
 def coalesced(changes: DataFrame, gap: str = "1 second", watermark: str | None = None) -> DataFrame:
@@ -59,32 +60,58 @@ def maintained(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None]
 
 
 def refresh_index(spark: SparkSession, table_path: str, root: str, vault: str, chunk_size: int = 1000) -> Callable[[DataFrame, DataFrame], None]:
-    """An ``apply`` for :func:`maintained` that rewrites the changed rows of an index kept as parquet versions.
-
-    Each call writes a new version beside the old one and then moves the pointer file, so readers never see half a table.
-    """
-    import os
-
+    """An ``apply`` for :func:`maintained` that keeps an index as versions of a table (see :class:`Versions`), so readers never see
+    half of one; :func:`indexed` reads the present version."""
     from notemill.sources.vault import markdown_files, parsed
 
-    pointer = os.path.join(table_path, "CURRENT")
-
-    def current() -> str | None:
-        return open(pointer).read().strip() if os.path.exists(pointer) else None
+    versions = Versions(spark, table_path)
 
     def apply(upserts: DataFrame, removals: DataFrame) -> None:
         touched = upserts.unionByName(removals)
-        version = current()
-        if version is not None and touched.isEmpty():
+        now = versions.latest()
+        if now >= 0 and touched.isEmpty():
             return
         files = markdown_files(spark, root)
         # without a version the whole folder is read
-        fresh = parsed(files if version is None else files.join(upserts, "path", "left_semi"), vault, chunk_size)
-        rows = fresh if version is None else spark.read.parquet(os.path.join(table_path, version)).join(touched, "path", "left_anti").unionByName(fresh)
-        name = f"v{int(version[1:]) + 1 if version else 0}"
-        rows.write.mode("overwrite").parquet(os.path.join(table_path, name))
-        with open(pointer + ".new", "w") as f:
-            f.write(name)
-        os.replace(pointer + ".new", pointer)
+        fresh = parsed(files if now < 0 else files.join(upserts, "path", "left_semi"), vault, chunk_size)
+        rows = fresh if now < 0 else indexed(spark, table_path).join(touched, "path", "left_anti").unionByName(fresh)
+        rows.write.mode("overwrite").parquet(f"{versions.at(now + 1)}/notes")
+        versions.mark(now + 1)
 
     return apply
+
+
+def indexed(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The present version of an index that :func:`refresh_index` keeps, None before the first."""
+    versions = Versions(spark, table_path)
+    now = versions.latest()
+    return None if now < 0 else spark.read.parquet(f"{versions.at(now)}/notes")
+
+
+class Monitor:
+    """A running upkeep query that can be flushed, stopped and asked how far it is."""
+
+    def __init__(self, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, gap: str = "1 second"):
+        self._start = lambda: maintained(changes, apply, checkpoint, gap, once=False)
+        self.query: StreamingQuery | None = None
+
+    def start(self) -> None:
+        """Begin, or go on from the checkpoint; a monitor that runs stays as it is."""
+        if self.query is None or not self.query.isActive:
+            self.query = self._start()
+
+    def flush(self) -> None:
+        """Hand over all changes that are there, without waiting for the next trigger."""
+        if self.query is not None and self.query.isActive:
+            self.query.processAllAvailable()
+
+    def stop(self) -> None:
+        """Flush what is pending, then end."""
+        self.flush()
+        if self.query is not None:
+            self.query.stop()
+
+    def stats(self) -> dict[str, int | bool]:
+        """Whether it runs, its batches, and the changes in all of those that are still remembered."""
+        done = list(self.query.recentProgress) if self.query is not None else []
+        return {"running": self.query is not None and self.query.isActive, "batches": max((p["batchId"] + 1 for p in done), default=0), "changes": sum(p["numInputRows"] for p in done)}

@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from notemill.operators.orphans import OrphanState, advance, snapshot
+from notemill.sources.store import Versions
 
 
 class OrphanTables:
-    """The state's tables below a folder, one sub-folder per version; the greatest complete version counts."""
+    """The state's tables below a folder that all executors share, one sub-folder per version (see :class:`Versions`)."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.versions = spark, Versions(spark, folder)
 
     def version(self) -> int:
-        done = [int(x[1:]) for x in os.listdir(self.folder)] if os.path.isdir(self.folder) else []
-        return max((v for v in done if os.path.exists(os.path.join(self.folder, f"v{v}", "DONE"))), default=-1)
+        return self.versions.latest()
 
     def load(self) -> OrphanState:
         v = self.version()
         if v < 0:
             return OrphanState.empty(self.spark)
-        at = os.path.join(self.folder, f"v{v}")
+        at = self.versions.at(v)
         return OrphanState(self.spark.read.parquet(f"{at}/parents"), self.spark.read.parquet(f"{at}/refs"))
 
     def save(self, state: OrphanState, version: int) -> None:
-        at = os.path.join(self.folder, f"v{version}")
+        at = self.versions.at(version)
         state.parents.write.mode("overwrite").parquet(f"{at}/parents")
         state.refs.write.mode("overwrite").parquet(f"{at}/refs")
-        open(os.path.join(at, "DONE"), "w").close()
+        self.versions.mark(version)
 
 
 def follow(changes: DataFrame, tables: OrphanTables, checkpoint: str) -> StreamingQuery:

@@ -9,13 +9,13 @@ import pytest
 from notemill.api import NoteEngine
 from notemill.operators import templates as P
 from notemill.operators import validation as C
-from notemill.operators.embeddings import HashProvider
+from notemill.operators.embeddings import HashProvider, TrainedProvider
 from notemill.operators.orphans import orphans
 from notemill.operators.search import Filters
 from notemill.sources import config as S
 from notemill.sources import vault as V
 from notemill.sources.changes import NoteChanges, differences, snapshot
-from notemill.streaming.changes import coalesced, latest_paths, maintained, refresh_index
+from notemill.streaming.changes import Monitor, coalesced, indexed, latest_paths, maintained, refresh_index
 from notemill.streaming.orphans import OrphanTables, follow, snapshots
 
 FILES = {
@@ -97,6 +97,53 @@ def test_engine(spark, root):
         e.read_file("x", "nowhere")
 
 
+def test_engine_options(spark, root, tmp_path):
+    (tmp_path / "second").mkdir()
+    (tmp_path / "second" / "a.md").write_text("# A\n[[b.md]] #x #y", encoding="utf-8")
+    e = NoteEngine(spark, {"v": root}, [P.Template(r"^odd$", ["n"])], [], HashProvider(64))
+    e.add_vault("w", str(tmp_path / "second"), default=True)
+    assert e.read_file("a.md", metadata=False).columns == ["path", "content", "frontmatter"] and e.list_vaults().count() == 2
+    r = e.get_backlinks("notes/other.md", "v", include_content=True).where("direction = 'incoming'").first()
+    assert r["title"] == "Start Here" and "# Start" in r["excerpt"] and "guide" in r["other_tags"]
+    s = {r["vault"]: r for r in e.get_graph_stats(include_metrics=True).collect()}
+    assert s["w"]["tags"] == 2 and s["w"]["hubs"][0]["node"] == "a.md" and s["w"]["bridges"] == 1 and s["v"]["files"] == 4 and s["v"]["top_pagerank"]
+    t = e.get_tag("#X").first()
+    assert t["tag"] == "x" and t["together"] == {"y": 1} and e.get_tag("none").count() == 0
+    e.configure(max_results=1)
+    assert e.search_content("", now=datetime(2100, 1, 1)).count() == 1 and e.search_stats()["max_results"] == 1
+    e.add_rule(C.Rule("content-length", "a"))
+    e.add_rule(C.Rule("content-length", "b"))
+    assert [r.pattern for r in e.rules_for("b.md")] == ["b"] and not e.rules_for("x") and e.remove_rule("content-length") and not e.remove_rule("content-length")
+    assert e.create_file("new one", "text", template="^odd$") == [] and e.read_file("new_one.md").first()["frontmatter"] == {"n": "null"}
+    with pytest.raises(KeyError):
+        e.create_file("z", template="nope")
+    e.vectors().count()
+    before = e._known.count()
+    e._set(e.notes)
+    e.vectors().count()
+    assert e._known.count() == before
+    e.remove_vault("w")
+    assert e.default_vault == "v" and e.list_vaults().count() == 1
+    info = {r["path"]: r for r in V.file_info(spark, root, ["empty.md", "gone.md"]).collect()}
+    assert info["empty.md"]["present"] and not info["gone.md"]["present"] and info["gone.md"]["size"] == 0
+
+
+def test_rule_scripts(spark, root, tmp_path):
+    good, bad = tmp_path / "good.py", tmp_path / "bad.py"
+    good.write_text("def check(note):\n    yield {'message': 'seen ' + note['path']}\n")
+    bad.write_text("raise RuntimeError\n")
+    notes = V.read_vault(spark, root, "v").where("path = 'empty.md'")
+    got = {(r["rule"], r["message"]) for r in C.findings(notes, [C.Rule("mine", script=str(good)), C.Rule("content-length", script=str(bad)), C.Rule("other", script=str(bad))]).collect()}
+    assert got == {("mine", "seen empty.md"), ("content-length", "Content too short: 0 characters (minimum: 50)"), ("other", "Unknown built-in rule: other")}
+
+
+def test_trained_provider(spark):
+    rows = [("cat purrs cat milk",), ("cat milk purrs",), ("train rails engine",), ("engine train steam",), (None,), ("",)] * 5
+    p = TrainedProvider.fit(spark.createDataFrame(rows, "text string"), dimension=4, features=256)
+    x = p.embed(["cat purrs", "milk cat", "rails engine", ""])
+    assert x.shape == (4, 4) and x[0] @ x[1] > 0.8 > 0.3 > x[0] @ x[2] and not x[3].any()
+
+
 def test_incremental_update(spark, root):
     index = V.read_vault(spark, root, "v")
     index = spark.createDataFrame(index.collect(), index.schema)
@@ -146,6 +193,10 @@ def test_config(tmp_path):
     assert c["search"]["max_results"] == 7 and c["search"]["similarity_threshold"] == 0.7 and c["indexing"]["chunk_size"] == 5 and c["name"] == "w"
     with pytest.raises(ValueError):
         S.checked({"search": {"similarity_threshold": 2}})
+    bad = {"search": {"max_results": 0, "ranking_weights": {"tags": 3}}, "links": {"patterns": [1]}, "templates": [{"required": "x"}], "validation": {"rules": [{"name": "a", "pattern": "b", "on": ["write"]}]}, "indexing": {"debounce_ms": True}, "more": {"x": 1}}
+    assert len(S.problems(bad)) == 6 and S.problems(S.DEFAULTS) == []
+    made = S.skeleton(str(tmp_path), str(tmp_path / "vault"))
+    assert len(made) == 2 and S.skeleton(str(tmp_path), str(tmp_path / "vault")) == []
     os.environ["NOTEMILL_X"] = "1"
     assert S.with_environment("a${NOTEMILL_X}b${NOTEMILL_NONE}") == "a1b"
 
@@ -173,9 +224,9 @@ def test_change_stream_keeps_an_index(spark, root, tmp_path):
         while time.time() < deadline and ("notes/added.md" not in paths or "empty.md" in paths):
             time.sleep(0.5)
             assert query.exception() is None, query.exception()
-            if os.path.exists(os.path.join(table, "CURRENT")):
-                version = open(os.path.join(table, "CURRENT")).read()
-                paths = {r["path"] for r in spark.read.parquet(os.path.join(table, version)).collect()}
+            now = indexed(spark, table)
+            if now is not None:
+                paths = {r["path"] for r in now.collect()}
     finally:
         query.stop()
     assert paths == {"notes/start.md", "notes/other.md", "notes/broken.md", "notes/added.md"}
