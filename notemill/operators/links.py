@@ -74,7 +74,7 @@ def link_suggestions(broken: DataFrame, notes: DataFrame, limit: int = 5) -> Dat
     needle = broken.select(F.col("vault").alias("scope"), F.lower("target_raw").alias("s")).distinct()
     files = cut(real_nodes(notes), "suggestions-notes")
     paths = files.select(F.col("vault").alias("scope"), F.col("node").alias("p"))
-    ahead = contained(needle.select("scope", F.col("s").alias("needle")), paths.select("scope", F.col("p").alias("hay"))).select("scope", F.col("needle").alias("s"), F.col("hay").alias("p"))
+    ahead = contained(needle.select("scope", F.col("s").alias("needle")), files.select(F.col("vault").alias("scope"), F.col("node").alias("hay"), "ord"), "ord", limit).select("scope", F.col("needle").alias("s"), F.col("hay").alias("p"))
     back = contained(paths.select("scope", F.col("p").alias("needle")), needle.select("scope", F.col("s").alias("hay"))).select("scope", F.col("hay").alias("s"), F.col("needle").alias("p"))
     found = ahead.unionByName(back).distinct().join(files.select(F.col("vault").alias("scope"), F.col("node").alias("p"), "ord"), ["scope", "p"])
     w = Window.partitionBy("scope", "s").orderBy("ord")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from notemill.functions.text import hits, slash_path, term_matches
 from notemill.functions.vectors import cosine
 from notemill.operators.tags import files_by_tags
+from notemill.session import cut
 
 
 @dataclass(frozen=True)
@@ -166,14 +167,17 @@ def search(
     return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "ord").limit(limit)
 
 
-def _together(parts: Sequence[tuple[str, DataFrame]], notes: DataFrame, limit: int, combined: bool) -> DataFrame:
-    out = None
-    for q, found in parts:
-        part = found.select(F.lit(q).alias("query"), "vault", "path", "ord", "score")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+def bulk_hits(notes: DataFrame, queries: Sequence[str], plain: Column, limit: int) -> DataFrame:
+    """(query, vault, path, ord, score): the text search of several queries in one scan, the best ``limit`` of each."""
+    lists = {q: terms_of(q) for q in dict.fromkeys(queries) if terms_of(q)}
+    if not lists:
         return notes.select(F.lit("").alias("query"), "vault", "path", "ord", F.lit(0.0).alias("score")).where(F.lit(False))
-    return out.orderBy(F.desc("score"), "query", "ord").limit(limit * len(parts)) if combined else out
+    t = notes.select("vault", "path", "ord", F.lower(plain).alias("_c"), F.lower(F.coalesce("title", F.lit(""))).alias("_t"), "tags")
+    points = {q: (_sum([hits("_c", x) for x in terms]) + 3 * _sum([hits("_t", x) for x in terms]) + 2 * _sum([_tag_hits(x) for x in terms])) / len(terms) for q, terms in lists.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("query"), F.least(c, F.lit(1.0)).alias("score")) for q, c in points.items()]))
+    rows = t.select("vault", "path", "ord", each.alias("h")).select("h.query", "vault", "path", "ord", "h.score").where("score > 0")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
 
 def bulk_search(
@@ -185,10 +189,25 @@ def bulk_search(
     ``semantic`` has the semantic hits (vault, path, score) by query.
     """
     hits_of = semantic or {}
-    parts = [(q, search(notes, q, plain, ranks, now, semantic=hits_of.get(q), limit=limit, threshold=threshold, weights=weights)) for q in queries]
-    return _together(parts, notes, limit, combined)
+    keep = bulk_hits(notes, queries, plain, 100).select("query", "vault", "path")
+    for q, near in hits_of.items():
+        keep = keep.unionByName(near.select(F.lit(q).alias("query"), "vault", "path")) if near is not None and q.strip() else keep
+    # the candidates of all queries, few rows each, in one table
+    rows = cut(notes.select("vault", "path", "ord", "tags", "last_modified").join(keep.distinct(), ["vault", "path"]), "bulk-candidates")
+    out = None
+    for q in queries:
+        if q.strip():
+            found = relevance(rows.where(F.col("query") == q), q, ranks, now, weights, hits_of.get(q)).where(F.col("score") >= threshold).orderBy(F.desc("score"), "ord").limit(limit)
+        else:
+            found = search(notes, q, plain, ranks, now, limit=limit, threshold=threshold, weights=weights)
+        part = found.select(F.lit(q).alias("query"), "vault", "path", "ord", "score")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return bulk_hits(notes, [], plain, limit)
+    return out.orderBy(F.desc("score"), "query", "ord").limit(limit * len(queries)) if combined else out
 
 
 def bulk_text_search(notes: DataFrame, queries: Sequence[str], plain: Column, limit: int = 10, combined: bool = True) -> DataFrame:
     """As :func:`bulk_search`, with the scores of the text search alone."""
-    return _together([(q, text_search(notes, q, plain, limit)) for q in queries], notes, limit, combined)
+    out = bulk_hits(notes, queries, plain, limit)
+    return out.orderBy(F.desc("score"), "query", "ord").limit(limit * len(queries)) if combined else out
