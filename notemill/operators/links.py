@@ -159,9 +159,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     weight = cut(edges.groupBy("vault", "src", "target").agg(F.count(F.lit(1)).alias("c")), "pagerank-weights")
     total = weight.groupBy("vault", "src").agg(F.sum("c").alias("o"))
-    links = cut(weight.join(total, ["vault", "src"]).select("vault", F.col("src").alias("node"), "target", (F.col("c") / F.col("o")).alias("w")), "pagerank-links")
+    links = weight.join(total, ["vault", "src"]).select("vault", F.col("src").alias("node"), "target", (F.col("c") / F.col("o")).alias("w"))
+    nodes = cut(nodes.select("vault", "node"), "pagerank-nodes")
     sizes = nodes.groupBy("vault").agg(F.count(F.lit(1)).alias("n"))
-    base = cut(join_unique(nodes.select("vault", "node"), sizes, ["vault"]), "pagerank-nodes")
+    base = join_unique(nodes, sizes, ["vault"])
     links = links.repartition(n, "vault", "node").persist()
     base = base.repartition(n, "vault", "node").persist()
     ranks = base.withColumn("rank", F.lit(1.0) / F.col("n"))

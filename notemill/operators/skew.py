@@ -18,7 +18,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> Data
     The counts are combined on the map side, so a hot key costs each task one row of shuffle.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    # over the same exchange, so the rows are read once
+    total = counts.agg(F.sum("_n").alias("_total"))
     return counts.join(F.broadcast(total), F.col("_n") * share > F.col("_total")).select(*keys)
 
 
