@@ -37,8 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not spark.sparkContext.master.startswith("local"):  # all processes of local-cluster share one machine as well
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="notemill-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
